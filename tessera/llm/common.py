@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import shared_dir, staged
+
+__all__ = ["bounded_sample", "fold", "held_out", "shared_dir", "staged", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,32 +24,6 @@ def held_out(key: Column | str = "doc_id") -> Column:
     return F.coalesce(fold(key) == 0, F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests, local runs) a folder of this machine is used.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back.
-
-    Cuts lineage in a way that outlives lost executors, and computes df once where
-    ``checkpoint()`` would compute it twice.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of what is now written
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     """The rows of df whose keys are among the ``rows`` smallest by a seeded hash of the key.
 
