@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontamination, quality, simhash, substring_dedup
-from tessera.llm.common import fold, staged, table
+from tessera.llm.common import fold, fresh, staged, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the labelled documents that came in."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(fold() != 0)
-    scored = quality.score(docs, quality.fit(docs, labels))
-    return scored.where(F.col("score") >= quality.CUT).select(*docs.columns)
+    name = fresh("score", docs.columns)
+    scored = quality.score(docs, quality.fit(docs, labels), name)
+    return scored.where(F.col(name) >= quality.CUT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..staging import shared_dir, staged
 
-__all__ = ["bounded_sample", "fold", "held_out", "shared_dir", "staged", "table"]
+__all__ = ["bounded_sample", "fold", "fresh", "held_out", "shared_dir", "staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def held_out(key: Column | str = "doc_id") -> Column:
     return F.coalesce(fold(key) == 0, F.lit(False))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that isn't among these, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     """The rows of df whose keys are among the ``rows`` smallest by a seeded hash of the key.
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 WIDTH = 8
 LEAST = 5
@@ -121,8 +121,9 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: f
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that leak no item, all columns as they were."""
-    leaks = contaminated(docs, items).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    leak = fresh("leak", docs.columns)
+    leaks = contaminated(docs, items).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col(leak)), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

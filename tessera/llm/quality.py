@@ -195,11 +195,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_units: in
     return units, vectors, Network(x, np.array([r[1] for r in rows], np.int64))
 
 
-def score(docs: DataFrame, model: tuple[list[str], np.ndarray, Network]) -> DataFrame:
-    """docs with a score column, every row and column kept."""
+def score(docs: DataFrame, model: tuple[list[str], np.ndarray, Network], name: str = "score") -> DataFrame:
+    """docs with a score column of this (new) name, every row and column kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_units
-    kept = [c for c in docs.columns if c != "score"]
-    docs = docs.select(*kept)
+    kept = docs.columns
     at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +206,9 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray, Network]) -> Data
         pooler = Pooler(units, vectors)
         for batch in batches:
             x = np.array([pooler.features(v.as_py()) for v in batch.column(at)], np.float32).reshape(len(batch), DIM + RATES)
-            yield pa.record_batch([*batch.columns, pa.array(network.score(x), pa.float64())], [*kept, "score"])
+            yield pa.record_batch([*batch.columns, pa.array(network.score(x), pa.float64())], [*kept, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 
 WINDOW = 20
 ROUNDS = 2
@@ -291,11 +291,12 @@ def covered(n: int, at: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """docs with a spans column (null: nothing repeated), every row and column kept."""
+    """docs with one more column, last, of spans (null: nothing repeated), every row and column kept."""
     found = repeated_windows(docs.select("doc_id", "text"), rounds)
-    spans = found.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("tag", "spans")).alias("spans"))
-    docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return docs.join(spans, "_key", "left").drop("_key")
+    key, spans = fresh("key", docs.columns), fresh("spans", docs.columns)
+    late = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("tag", "spans")).alias(spans))
+    docs = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return docs.join(late, key, "left").drop(key)
 
 
 def _cover(text: pa.Scalar, entries: pa.Scalar, n: int) -> np.ndarray | None:
@@ -344,7 +345,7 @@ def deduplicate(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 texts.append(text.as_py() if cover is None else without(text.as_py(), cover))
             yield pa.record_batch([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names)
 
-    out = with_spans(docs, rounds).select(*names, "spans").mapInArrow(run, docs.schema)
+    out = with_spans(docs, rounds).mapInArrow(run, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))).select(*names)
     return out

@@ -42,13 +42,14 @@ EPSILON = 2.1
 
 @dataclass
 class Index:
-    """Rotation, centroids and list sizes."""
+    """Rotation, centroids, list sizes, and how many lists to probe."""
 
     dim: int
     longest: float
     rotation: np.ndarray
     centroids: np.ndarray
     sizes: np.ndarray
+    probes: int = 1
 
     def rotated(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Vectors with their extra component (0 for queries, which are scaled to unit length), rotated."""
@@ -87,11 +88,12 @@ def kmeans(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 5) -> np.ndar
     return centroids
 
 
-def build(rows: DataFrame, sample_rows: int = 20_000, max_lists: int = 4096, seed: int = 5) -> tuple[DataFrame, Index] | None:
+def build(rows: DataFrame, sample_rows: int = 20_000, max_lists: int = 4096, target: float = 0.96, seed: int = 5) -> tuple[DataFrame, Index] | None:
     """Every vector of rows(vec_id, embedding) with its list, staged; and the index. None without vectors.
 
-    The centroids are fitted on at most ``sample_rows`` vectors; the number of lists is the
-    root of the number of vectors, at most ``max_lists``.
+    The centroids are fitted on at most ``sample_rows`` vectors; the number of lists is a
+    quarter of the root of the number of vectors, at most ``max_lists``. How many lists a
+    query probes is fitted on the sample too: enough for ``target`` of its true neighbours.
     """
     common = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").head()
     if common is None:
@@ -104,7 +106,8 @@ def build(rows: DataFrame, sample_rows: int = 20_000, max_lists: int = 4096, see
     index = Index(dim, longest, rotation, np.zeros((1, dim + 1), np.float32), np.zeros(1))
     sample = sorted(tuple(r) for r in bounded_sample(rows, "vec_id", sample_rows, seed).limit(sample_rows).collect())
     x = index.rotated(np.array([r[1] for r in sample], np.float32).reshape(-1, dim))
-    index.centroids = kmeans(x, int(min(max_lists, len(x), max(1, round(np.sqrt(n))))))
+    index.centroids = kmeans(x, int(min(max_lists, len(x), max(1, round(np.sqrt(n) / 4)))))
+    index.probes = fitted_probes(x, np.array([r[1] for r in sample], np.float32).reshape(-1, dim), index, target)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,6 +123,22 @@ def build(rows: DataFrame, sample_rows: int = 20_000, max_lists: int = 4096, see
     return dealt, index
 
 
+def fitted_probes(x: np.ndarray, plain: np.ndarray, index: Index, target: float, k: int = K, queries: int = 400) -> int:
+    """The lists to probe so that this share of the true neighbours within the sample is in them."""
+    if len(x) <= k:
+        return len(index.centroids)
+    asked = plain[:: max(1, len(plain) // queries)]
+    near = index.distances(x).argmin(1)
+    order = index.distances(index.rotated(asked, query=True)).argsort(1, kind="stable")
+    place = np.argsort(order, 1)
+    own = np.arange(0, len(plain), max(1, len(plain) // queries))
+    score = asked.astype(np.float64) @ plain.T.astype(np.float64)
+    score[np.arange(len(own)), own] = -np.inf
+    best = np.argpartition(-score, k, axis=1)[:, :k]
+    need = np.sort(np.take_along_axis(place, near[best], 1).ravel())
+    return int(need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)]) + 1
+
+
 def probed(x: np.ndarray, index: Index, probes: int, k: int) -> list[np.ndarray]:
     """The lists that each query probes: the nearest ones, and more while they hold too few vectors."""
     order = index.distances(index.rotated(x, query=True)).argsort(1, kind="stable")
@@ -155,7 +174,7 @@ def scan(base: np.ndarray, query: np.ndarray, own: np.ndarray, k: int = K, epsil
     return np.concatenate(kept)
 
 
-def search(dealt: DataFrame, index: Index, queries: DataFrame, k: int = K, probes: int = 64) -> DataFrame:
+def search(dealt: DataFrame, index: Index, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found to each of queries(vec_id, embedding)."""
     dim = index.dim
 
@@ -163,7 +182,7 @@ def search(dealt: DataFrame, index: Index, queries: DataFrame, k: int = K, probe
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                lists = probed(_matrix(part.column(1), dim), index, probes, k)
+                lists = probed(_matrix(part.column(1), dim), index, index.probes, k)
                 rows = pa.array(np.repeat(np.arange(len(part)), [len(x) for x in lists]))
                 yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(lists).astype(np.int32))], ["vec_id", "embedding", "list"])
 
