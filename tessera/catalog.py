@@ -126,10 +126,10 @@ def broadcast_tagged(spark, sf_dir):
     return merge.tagged({str(i): rows.where(F.col("n_regionkey") == i) for i in range(5)}).select("n_nationkey", "n_name", "n_regionkey", "shard_id", "shard_index")
 
 
-@registered("SELECT s_suppkey, round(s_acctbal * 1.1, 2) AS projected FROM supplier")
+@registered("SELECT s_suppkey, s_acctbal * 2 AS projected FROM supplier")
 def broadcast_project(spark, sf_dir):
     table = ShardedTable.by_column(_t(spark, sf_dir, "supplier"), _mod("s_suppkey", 4), 4, "supplier")
-    return merge.project(table, "s_suppkey", F.round(F.col("s_acctbal") * 1.1, 2).alias("projected"))
+    return merge.project(table, "s_suppkey", (F.col("s_acctbal") * 2).alias("projected"))
 
 
 @registered("SELECT CAST(user_id % 4 AS VARCHAR) AS shard_id, count(*) AS n FROM events GROUP BY 1")
