@@ -37,21 +37,36 @@ SHARD_ROWS = 4096
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
+def _halves(text: str | None, width: int, longs: int) -> tuple[np.ndarray, int]:
+    """How many shingle hashes have each bit, for so many 64-bit hashes of a shingle; and the number of shingles."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    half, at = np.zeros(64, np.int64), 0
+    counts = np.zeros((longs, 64), np.int64)
+    n = max(1, len(words) - width + 1) if words else 0
+    at = 0
     while at < n:  # in pieces, so that a very long text needs little memory
         part = words[at : at + (1 << 17) + width - 1]
         here = min(1 << 17, n - at)
         shingles = map(b" ".join, zip(*(part[k:] for k in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, here)
-        lanes = _SPREAD[h.view(np.uint8).reshape(-1, 8)]  # a byte for each bit, summed over 255 rows at a time
-        half += np.add.reduceat(lanes, np.arange(0, here, 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
+        for k in range(longs):
+            lanes = _SPREAD[h.view(np.uint8).reshape(-1, 8)]  # a byte for each bit, summed over 255 rows at a time
+            counts[k] += np.add.reduceat(lanes, np.arange(0, here, 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
+            h = _next_hash(h)
         at += here
-    return int.from_bytes(np.packbits(half * 2 > n, bitorder="little").tobytes(), "little")
+    return counts, n
+
+
+def _next_hash(h: np.ndarray) -> np.ndarray:
+    """Another hash of the same shingles, by scrambling."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    counts, n = _halves(text, width, 1)
+    return int.from_bytes(np.packbits(counts[0] * 2 > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -230,6 +245,98 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, s
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+# --- near copies by similarity: longer fingerprints, banded ---
+
+SIMILARITY = 0.8
+SIMILAR_WIDTH = 5
+LONGS = 12  # 64-bit hashes of a shingle: 768 bits
+BAND = 16
+CHECK_LONGS = 4  # the first 256 bits travel along and are compared
+
+
+def similar_radius(similarity: float, bits: int = 64 * CHECK_LONGS) -> int:
+    """Bits that may differ: what texts of this Jaccard similarity differ by on average, and two deviations more."""
+    cosine = 2 * similarity / (1 + similarity)
+    part = float(np.arccos(cosine) / np.pi)
+    return int(bits * part + 2 * np.sqrt(bits * part * (1 - part)))
+
+
+def long_fingerprints(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
+    """doc_id, node (a name for the fingerprint), sketch (its first bits) and bands of every row of docs(doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros((len(batch), LONGS * 8), np.uint8)
+            for i, value in enumerate(batch.column(1)):
+                counts, n = _halves(value.as_py(), width, LONGS)
+                bits[i] = np.packbits(counts.ravel() * 2 > n, bitorder="little")
+            names = np.array([xxhash.xxh3_64_intdigest(row.tobytes()) for row in bits], np.uint64).view(np.int64)
+            bands = bits.view(np.uint16).astype(np.int32)
+            lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), bands.ravel())
+            sketch = pa.array([row[: 8 * CHECK_LONGS].tobytes() for row in bits], pa.binary())
+            yield pa.record_batch([batch.column(0), pa.array(names), sketch, lists], ["doc_id", "node", "sketch", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, node long, sketch binary, bands array<int>")
+
+
+def _search_similar(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, values = None, [], []
+
+        def links() -> list[tuple[int, int]]:
+            if len(nodes) < 2:
+                return []
+            name = dict(zip(values, nodes, strict=True))
+            return [(name[a], name[b]) for a, b in forest(list(name), radius)]
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            for k, node, sketch in zip(keys, batch.column(4).to_pylist(), batch.column(5), strict=True):
+                if k != key:
+                    out += links()
+                    key, nodes, values = k, [], []
+                nodes.append(node)
+                values.append(int.from_bytes(sketch.as_py(), "little"))
+            yield _signed_pairs(out)
+        yield _signed_pairs(links())
+
+    return run
+
+
+def _signed_pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    x = np.array(found, np.int64).reshape(-1, 2)
+    return pa.record_batch([pa.array(x.max(1) if len(x) else x[:, 0]), pa.array(x.min(1) if len(x) else x[:, 0])], ["a", "b"])
+
+
+def similar_groups(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id and component_id for near copies by the similarity of their word shingles.
+
+    Texts of that similarity differ in more bits than blocks of a 64-bit fingerprint
+    forgive, so fingerprints have 768 bits. Each distinct one goes to a shard for every
+    band of 16 bits; a shard's BK-tree links those whose first 256 bits are within
+    ``similar_radius``. A shard of more than ``shard_rows`` is dealt out in pairs of parts,
+    so every two of its rows still meet.
+    """
+    fps = staged(long_fingerprints(docs, width), "fingerprints")
+    distinct = fps.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    dealt = distinct.select("node", "sketch", F.posexplode("bands").alias("t", "k"))
+    sizes = dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = dealt.join(sizes, ["t", "k"]).withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = dealt.withColumn("own", own).withColumn("other", other)
+    shard = ["t", "k", "p", "q"]
+    dealt = dealt.select("t", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "sketch")
+    grouped = dealt.repartition(*shard).sortWithinPartitions(*shard, "node")
+    edges = grouped.mapInArrow(_search_similar(similar_radius(similarity)), "a long, b long").distinct()
+    roots = components(edges)
+    firsts = fps.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps.select("doc_id", "node").join(firsts.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
