@@ -183,7 +183,7 @@ def _batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.
 
 
 def shared_marks(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id and marks: for each document its marks that stand more than once in the corpus."""
+    """doc_id and marks: for each of docs(doc_id, text) its marks that stand more than once in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
@@ -202,7 +202,7 @@ def shared_marks(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 more[i] = np.unique(ids[doc[first[i] + 1 : first[i] + count[i]]]).astype("<i8").tobytes()
             yield pa.record_batch([pa.array(marks[first].view(np.int64)), pa.array(ids[doc[first]], pa.int64()), pa.array(more, pa.binary())], ["mark", "doc_id", "more"])
 
-    emitted = docs.select(_key(), "text").mapInArrow(run, "mark long, doc_id long, more binary")
+    emitted = docs.mapInArrow(run, "mark long, doc_id long, more binary")
     met = emitted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mark"))).where("n > 1 or more is not null")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def repeats(docs: DataFrame, marks: DataFrame, rounds: int = ROUNDS) -> DataFram
                 pa.array(np.concatenate([np.zeros(judged.sum(), np.int32), span])),
             ], ["w1", "w2", "doc_id", "place", "span"])
 
-    open_ = docs.select(_key(), "text").join(marks, "doc_id").select("doc_id", "text", "marks")
+    open_ = docs.join(marks, "doc_id").select("doc_id", "text", "marks")
     found = open_.mapInArrow(run, "w1 long, w2 int, doc_id long, place long, span int")
     here = F.struct("doc_id", F.shiftright("place", _TAG).alias("at"))
     first = F.min(here).over(Window.partitionBy("w1", "w2", F.col("span") > 0))
@@ -269,7 +269,7 @@ def repeats(docs: DataFrame, marks: DataFrame, rounds: int = ROUNDS) -> DataFram
 
 def _tag(value: pa.Scalar) -> int:
     """Tells apart different texts of one doc_id."""
-    return xxhash.xxh3_64_intdigest((value.as_py() or "").encode("utf-8", "replace")) & ((1 << _TAG) - 1)
+    return xxhash.xxh64_intdigest((value.as_py() or "").encode("utf-8", "replace"), 42) & ((1 << _TAG) - 1)
 
 
 def _key():
@@ -277,9 +277,20 @@ def _key():
 
 
 def repeated_windows(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id (null: NULL_ID), tag and spans, staged in the shared folder."""
-    marks = staged(shared_marks(docs, rounds), "marks")
-    return staged(repeats(docs, marks, rounds), "repeats")
+    """doc_id (null: NULL_ID), tag and spans, staged in the shared folder.
+
+    All windows of an exact copy also start in its first copy, so copies are settled at
+    once; marks and windows are looked for in first copies only.
+    """
+    docs = docs.select(_key(), "text").where("text is not null").withColumn("digest", F.sha2("text", 256))
+    firsts = staged(docs.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
+    own = docs.join(firsts, (docs["digest"] == firsts["digest"]) & (docs["doc_id"] == firsts["first"])).select("doc_id", "text")
+    marks = staged(shared_marks(own, rounds), "marks")
+    found = repeats(docs.select("doc_id", "text"), marks, rounds)  # only first copies have marks
+    tag = F.xxhash64("text").bitwiseAND(F.lit((1 << _TAG) - 1)).cast("int").alias("tag")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit((1 << 31) - 1).alias("n"))).alias("spans")
+    copies = docs.select("doc_id", "digest", tag).join(firsts, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "tag", whole).distinct()
+    return staged(found.unionByName(copies), "repeats")
 
 
 def covered(n: int, at: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -301,7 +312,7 @@ def with_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def _cover(text: pa.Scalar, entries: pa.Scalar, n: int) -> np.ndarray | None:
     """Which words of a text go; None if none."""
-    if not entries.is_valid:
+    if not entries.is_valid or n < WINDOW:
         return None
     rows, tag = entries.values, _tag(text)
     for own, spans in zip(rows.field("tag").to_pylist(), rows.field("spans"), strict=True):
