@@ -63,22 +63,26 @@ def _is_slot(word: Column) -> Column:
 
 
 def windows(rows: DataFrame, keys: list[str], width: int, whole: bool = False) -> DataFrame:
-    """keys, h, at and slots of each window of rows(keys, text).
+    """keys, h, at (from 0) and slots of each window of rows(keys, text).
 
-    slots: the values of the window's placeholders, in order. whole: only of texts with just so many words.
+    slots: for each word of the window, the value of its placeholder, or null; null if the
+    text has none. It stays the text's own array, to be cut (``slot_values``) once a window
+    is known to matter. whole: only of texts with just so many words.
     """
-    rows = rows.select(*keys, template(F.col("text")).alias("t"), values(F.col("text")).alias("v"))
-    # Texts without any placeholder, the common case, need no slot values.
-    slots = F.when(F.exists("t", _is_slot), F.transform("t", lambda w, i: F.when(_is_slot(w), F.get(F.col("v"), i))))
-    rows = rows.select(*keys, "t", slots.alias("s"), F.size("t").alias("n"))
-    rows = rows.where(F.col("n") == width) if whole else rows.where(F.col("n") >= width)
-    starts = F.sequence(F.lit(1), F.col("n") - (width - 1))
-    each = F.transform(starts, lambda i: F.struct(
-        F.xxhash64(F.slice(F.col("t"), i, width)).alias("h"),
-        i.alias("at"),
-        F.when(F.col("s").isNotNull(), F.array_join(F.slice(F.col("s"), i, width), " ")).alias("slots"),
-    ))
-    return rows.select(*keys, F.explode(each).alias("w")).select(*keys, "w.h", "w.at", F.coalesce("w.slots", F.lit("")).alias("slots"))
+    t = rows.select(*keys, "text", template(F.col("text")).alias("t"))
+    # Values are looked up only for texts with placeholders. No filter on the words' number:
+    # it would be pushed below and make the template twice.
+    slots = F.when(F.exists("t", _is_slot), F.zip_with("t", values(F.col("text")), lambda w, v: F.when(_is_slot(w), v)))
+    hashed = t.select(*keys, slots.alias("slots"), F.size("t").alias("n"), F.transform("t", lambda w: F.xxhash64(w)).alias("words"))
+    fits = F.col("n") == width if whole else F.col("n") >= width
+    starts = F.when(fits, F.sequence(F.lit(0), F.col("n") - width)).otherwise(F.array().cast("array<int>"))
+    each = F.transform(starts, lambda i: F.xxhash64(*(F.get(F.col("words"), i + k) for k in range(width))))
+    return hashed.select(*keys, "slots", F.posexplode(each).alias("at", "h"))
+
+
+def slot_values(slots: Column, at: Column, width: int) -> Column:
+    """The values of a window's placeholders, in order, joined by blanks."""
+    return F.coalesce(F.array_join(F.slice(slots, at + 1, width), " "), F.lit(""))
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH, least: int = LEAST, literals: int = LITERALS) -> list[tuple[int, DataFrame]]:
@@ -88,7 +92,7 @@ def benchmark_windows(items: DataFrame, width: int = WIDTH, least: int = LEAST,
     short = sorted(r[0] for r in items.select(words.alias("n")).where((F.col("n") >= least) & (F.col("n") < width)).distinct().collect())  # a few small numbers
     out = []
     for size in [*short, width]:
-        found = windows(items, ["item_id"], size, whole=size < width)
+        found = windows(items, ["item_id"], size, whole=size < width).withColumn("slots", slot_values(F.col("slots"), F.col("at"), size))
         literal = size - F.size(F.filter(F.split("slots", " "), lambda s: s != ""))
         found = found.where(literal >= min(literals, size)).select("h", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
         total = found.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
@@ -103,7 +107,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: f
     for size, found in benchmark_windows(items, width):
         if found.count() <= broadcast_rows:
             found = F.broadcast(found)
-        hits = windows(docs, ["doc_id"], size).join(found, "h")
+        hits = windows(docs, ["doc_id"], size).join(found, "h").withColumn("slots", slot_values(F.col("slots"), F.col("at"), size))
         met = hits if met is None else met.unionByName(hits)
     pairs = F.transform(
         F.filter(F.arrays_zip(F.split("item_slots", " ").alias("a"), F.split("slots", " ").alias("b")), lambda p: p["a"] != ""),
