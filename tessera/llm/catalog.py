@@ -11,10 +11,10 @@ from .chat_format import OP10_SQL, op10_chat_format
 from .decontamination import op3_decontamination
 from .html_extraction import op7_html_extraction
 from .language_id import op1_language_id
-from .license_scan import op4_license_scan
+from .license_scan import OP4_SQL, op4_license_scan
 from .quality import op6_quality
 from .simhash import op8_simhash
-from .substring_dedup import op5_substring_dedup
+from .substring_dedup import OP5_SQL, op5_substring_dedup
 from .vector_search import op9_vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_chat_format": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_license_scan": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op10_chat_format": OP10_SQL}

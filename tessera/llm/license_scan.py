@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -167,3 +168,44 @@ def scan(docs: DataFrame, source: tuple[tuple[str, str], ...] = TEMPLATES, thres
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _oracle_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    listed = lambda words: "[" + ", ".join(map(quoted, words)) + "]"
+    word = f"'{WORD.pattern}'"
+    phrases = ", ".join(f"({quoted(label)}, {listed(phrase.split(' '))})" for phrase, label in PHRASES.items())
+    temps = ", ".join(f"({quoted(label)}, {listed(sorted(words))}, {needed(len(words))})" for label, words in templates())
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}') AS low FROM documents
+), worded AS (
+  SELECT doc_id, low, regexp_extract_all(low, {word}) AS words FROM docs
+), places AS (
+  SELECT d.doc_id, p.label, i FROM worded AS d, (VALUES {phrases}) AS p(label, phrase), unnest(range(1, len(d.words) - len(p.phrase) + 2)) AS u(i)
+  WHERE d.words[i] = p.phrase[1] AND d.words[i:i + len(p.phrase) - 1] = p.phrase
+), base AS (
+  SELECT doc_id, count(*) AS n, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, unnest(list_transform(string_split(low, chr(10)), lambda s: regexp_extract_all(s, {word}))) AS words FROM docs
+), blocks AS (
+  SELECT doc_id, row_number() OVER () AS block, words FROM (
+    SELECT doc_id, words FROM lines WHERE len(words) <= {BLOCK_WORDS}
+    UNION ALL SELECT doc_id, words[i + 1:i + {BLOCK_WORDS}] FROM (
+      SELECT doc_id, words, unnest(range(0, len(words) - {BLOCK_WORDS // 2}, {BLOCK_WORDS // 2})) AS i FROM lines WHERE len(words) > {BLOCK_WORDS}) AS x) AS y
+), met AS (
+  SELECT doc_id, block, label, len(template) AS size, len(list_intersect(words, template)) / len(template) AS part
+  FROM blocks, (VALUES {temps}) AS t(label, template, need) WHERE len(list_intersect(words, template)) >= need
+), best AS (
+  SELECT doc_id, label, part FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY part DESC, size DESC, label DESC) AS n FROM met) AS m WHERE n = 1
+), every AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS score FROM (
+    SELECT doc_id, label, 1.0 AS part FROM places UNION ALL SELECT doc_id, label, part FROM best) AS z GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word,
+  coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels, CAST(coalesce(e.score, 0) AS DOUBLE) AS score
+FROM worded AS d LEFT JOIN base AS b ON b.doc_id = d.doc_id LEFT JOIN every AS e ON e.doc_id = d.doc_id
+"""
+
+
+OP4_SQL = _oracle_sql()
