@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .plans.table import ShardedTable
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class QueryMetrics:
@@ -24,13 +28,19 @@ class QueryMetrics:
     items: dict[str, int] = field(default_factory=dict)
 
 
-def collect(table: ShardedTable, ordering: bool = False) -> tuple[list, QueryMetrics]:
-    """The rows, and one metrics record whether the query ends well or not."""
+def collect(table: ShardedTable, ordering: bool = False, tag: str | None = None, observer: Callable[[QueryMetrics], None] | None = None) -> tuple[list, QueryMetrics]:
+    """The rows, and one metrics record, which an observer gets whether the query ends well or not.
+
+    Jobs carry the tag, so that another thread can cancel them with ``interruptTag``.
+    """
+    spark = table.frame.sparkSession
     targets = table.targets()
     out = QueryMetrics(table.source, len(table.shard_ids) if targets is None else len(targets.ids), 0 if targets is None else targets.invalid, ordering)
     began, seen = time.monotonic(), Observation()
     df = table.rows()
     watch = "shard_id" in df.columns
+    if tag:
+        spark.addTag(tag)
     try:
         counts = [F.count_if(F.col("shard_id") == s).alias(s) for s in table.shard_ids] if watch else [F.count(F.lit(1)).alias("all")]
         rows = df.observe(seen, *counts).collect()
@@ -42,6 +52,13 @@ def collect(table: ShardedTable, ordering: bool = False) -> tuple[list, QueryMet
         raise
     finally:
         out.ms = (time.monotonic() - began) * 1000
+        if tag:
+            spark.removeTag(tag)
+        if observer:
+            try:
+                observer(out)
+            except Exception:  # an observer's own trouble must not spoil the query
+                log.exception("a metrics observer failed")
 
 
 def state_counts(found: DataFrame) -> DataFrame:

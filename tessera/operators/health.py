@@ -6,11 +6,12 @@ import enum
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InsufficientHealthyShards
 from ..plans.table import ShardedTable
+from ..sources.registry import Registry
 
 
 class Behaviour(enum.Enum):
@@ -42,7 +43,9 @@ def fold(probes: DataFrame, unhealthy_after: int = 3, healthy_after: int = 2) ->
     """probes(shard_id, ts, seq, ok) with the shard's status after each event.
 
     So many failures in a row make a shard unhealthy, so many successes make it healthy
-    again; the first success makes an unknown shard healthy.
+    again; the first success makes an unknown shard healthy. healthy_after 1 is the rule
+    of periodic probes, which recover at once. A shard's events are ordered by nature, so
+    the work spreads over shards and not within one.
     """
     order = Window.partitionBy("shard_id").orderBy("ts", "seq")
     run = F.sum(F.when(F.lag("ok").over(order).eqNullSafe(F.col("ok")), 0).otherwise(1)).over(order)
@@ -81,6 +84,23 @@ def gated(table: ShardedTable, reports: DataFrame, behaviour: Behaviour = Behavi
     return table.where_shard(*good) if good else table.where(F.lit(False))
 
 
+def always_healthy(spark: SparkSession, shards: Sequence[str]) -> DataFrame:
+    """The reports of a policy that probes nothing."""
+    return spark.createDataFrame([(s, "Healthy") for s in shards], "shard_id string, status string")
+
+
+def probed(spark: SparkSession, registry: Registry) -> DataFrame:
+    """shard_id, status and description, by reading one row of every registered shard."""
+    found = []
+    for shard_id, shard in registry.shards.items():
+        try:
+            shard.open(spark).limit(1).collect()
+            found.append((shard_id, "Healthy", None))
+        except Exception as e:
+            found.append((shard_id, "Unhealthy", str(e).splitlines()[0][:200]))
+    return spark.createDataFrame(found, "shard_id string, status string, description string")
+
+
 def availability(targets: DataFrame, reports: DataFrame) -> DataFrame:
     """One row: total and healthy targets and the healthy share."""
     joined = targets.join(reports.select("shard_id", "status"), "shard_id", "left")

@@ -8,6 +8,8 @@ a resumed run takes up every move that isn't done.
 from __future__ import annotations
 
 import enum
+import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,6 +21,8 @@ from ..functions.hashing import fnv1a64
 from ..operators.merge import ranked
 from ..sources import shard_map
 
+log = logging.getLogger(__name__)
+
 #: States of a move, in order.
 STATES = ("Planned", "Copying", "Copied", "Verifying", "Verified", "Swapping", "Done", "Failed")
 
@@ -152,6 +156,19 @@ def execute(found: DataFrame, source: DataFrame, target: DataFrame, stored: Data
     return keep(found, "swapped"), target, keep(stored, "map")
 
 
+def retried(run: Callable[[], DataFrame], options: Options = Options(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """The result of a stage that is tried again, with growing pauses, before it is given up."""
+    for attempt in range(1, options.max_retries + 2):
+        try:
+            return run()
+        except Exception as e:
+            if attempt > options.max_retries:
+                raise MigrationError(f"gave up after {attempt} attempts: {e}", attempts=attempt) from e
+            log.warning("attempt %d failed: %s", attempt, e)
+            sleep(retry_delay_ms(attempt, options) / 1000)
+    raise AssertionError
+
+
 class BudgetGovernor:
     """How many keys may move at a time: less when unhealthy, slowly more when healthy."""
 

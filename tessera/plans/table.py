@@ -7,6 +7,7 @@ out; nothing here schedules shards by hand.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..errors import AllShardsFailed, OrderingNotSupported, QueryError
 from ..sources.registry import Registry
 
+log = logging.getLogger(__name__)
 SHARD_COLUMNS = ("shard_id", "shard_index")
 
 
@@ -138,6 +140,24 @@ def query(table: ShardedTable, where: Column | None = None, select: Iterable[Col
     return table
 
 
+def isolated(table: ShardedTable, write: Callable[[str, DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, Exception]]:
+    """Best effort with one job a shard: what the shards that answered returned, and the failures of the others.
+
+    write materialises a shard's rows, for instance in the shared folder, and returns them.
+    """
+    done, failed = [], {}
+    targets = table.targets()
+    for shard_id in table.shard_ids if targets is None else targets.ids:
+        try:
+            done.append(write(shard_id, table.where_shard(shard_id).rows()))
+        except Exception as e:
+            failed[shard_id] = e
+            log.warning("shard %s failed: %s", shard_id, e)
+    if not done:
+        raise AllShardsFailed("no shard answered", phase="Execution", failures=failed)
+    return reduce(lambda a, b: a.unionByName(b), done), failed
+
+
 class Client:
     """A facade over one sharded table."""
 

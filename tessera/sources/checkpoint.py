@@ -30,6 +30,19 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", place).where("_n = 1").drop("_n")
 
 
+class MemoryCheckpoints:
+    """The latest checkpoint of each plan, for tests and dry runs."""
+
+    def __init__(self) -> None:
+        self._latest: dict[str, DataFrame] = {}
+
+    def persist(self, plan_id: str, rows: DataFrame) -> None:
+        self._latest[plan_id] = rows
+
+    def load(self, plan_id: str) -> DataFrame | None:
+        return self._latest.get(plan_id)
+
+
 class CheckpointStore:
     """Appends checkpoints to a folder and loads the latest of a plan."""
 

@@ -97,3 +97,8 @@ def next_page_size(size: int, batch_ms: float, target_ms: float = 75.0, least: i
         raise ValueError("page sizes must be positive and ordered")
     wanted = size * 1.5 if batch_ms < target_ms else size * 0.5 if batch_ms > target_ms else size
     return max(least, min(most, int(wanted)))
+
+
+def oscillates(decided_ms: list[float], now_ms: float, window_ms: float = 5000.0, decisions: int = 6) -> bool:
+    """Whether page sizes changed so often lately that they hunt around their target."""
+    return sum(now_ms - window_ms <= t <= now_ms for t in decided_ms) >= decisions

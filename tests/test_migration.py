@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.errors import MigrationError, StoreError, TopologyError
 from tessera.operators import topology
 from tessera.plans import migration as M
-from tessera.sources.checkpoint import CheckpointStore, decoded, encoded
+from tessera.sources.checkpoint import CheckpointStore, MemoryCheckpoints, decoded, encoded
 from tessera.sources.shard_map import MapStore, enumerate_map
 from tessera.streaming import events
 
@@ -108,6 +108,27 @@ def test_schedules():
     assert governor.report(600, 0) == 192 and governor.report(10, 0) == 211
 
 
+def test_retries():
+    tries, pauses = [], []
+
+    def run():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("not yet")
+        return "done"
+
+    assert M.retried(run, sleep=pauses.append) == "done" and pauses == [0.1, 0.2]
+    with pytest.raises(MigrationError):
+        M.retried(lambda: 1 / 0, M.Options(max_retries=1), sleep=pauses.append)
+
+
+def test_memory_checkpoints(spark):
+    store = MemoryCheckpoints()
+    assert store.load("p") is None
+    store.persist("p", spark.range(1))
+    assert store.load("p").count() == 1
+
+
 def test_checkpoints(spark, tmp_path):
     moves = spark.createDataFrame([("a", 0, "Done"), ("b", 1, "Planned")], "shard_key string, ord long, state string")
     store = CheckpointStore(spark, f"file://{tmp_path}/checkpoints")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from tessera import metrics
 from tessera.errors import AllShardsFailed, InsufficientHealthyShards, OrderingNotSupported, QueryError, StoreError
 from tessera.operators import health, merge, terminals
-from tessera.plans.table import Client, ShardedTable, query
-from tessera.sources.registry import Registry, files, next_page_size, rows
+from tessera.plans.table import Client, ShardedTable, isolated, query
+from tessera.sources.registry import Registry, files, next_page_size, oscillates, rows
 
 PEOPLE = {"0": [(1, "Alice", 30), (2, "Bob", 25)], "1": [(3, "Carol", 40)], "2": [(4, "Dave", 35), (5, "Eve", 22)]}
 SCHEMA = "id int, name string, age int"
@@ -165,6 +165,30 @@ def test_page_sizes():
         next_page_size(0, 1)
 
 
+def test_isolated_shards(people):
+    def write(shard_id, df):
+        if shard_id == "1":
+            raise OSError("lost")
+        return df
+
+    got, failed = isolated(people, write)
+    assert names(got) == {"Alice", "Bob", "Dave", "Eve"} and list(failed) == ["1"]
+    with pytest.raises(AllShardsFailed):
+        isolated(people.where_shard("1"), write)
+
+
+def test_probing(spark, tmp_path):
+    registry = Registry.of({"a": rows(PEOPLE["0"], SCHEMA), "b": files(str(tmp_path / "none"))})
+    assert {r["shard_id"]: r["status"] for r in health.probed(spark, registry).collect()} == {"a": "Healthy", "b": "Unhealthy"}
+    assert health.always_healthy(spark, ["a", "b"]).count() == 2
+    assert oscillates([0, 1000, 2000, 3000, 4000, 4500], 4600) and not oscillates([0, 1000], 4600)
+
+
+def test_observers_cannot_spoil_a_query(people):
+    got, record = metrics.collect(people, tag="people", observer=lambda m: 1 / 0)
+    assert len(got) == 5 and record.status == "ok"
+
+
 def test_metrics(people):
     got, record = metrics.collect(people.where(F.col("age") >= 30).where_shard("0", "1", "9"))
     assert len(got) == 2 and record.status == "ok" and record.items == {"0": 1, "1": 1, "2": 0}
