@@ -31,6 +31,7 @@ from .common import bounded_sample, fold, held_out, table
 DIM = 96
 CUT = 0.3
 RATES = 5
+BLOCK = 512
 
 
 def shape_of(word: str) -> tuple[str, str]:
@@ -121,14 +122,23 @@ def word_vectors(texts: DataFrame, max_units: int = 20_000, dim: int = DIM) -> t
                                 ok = (a >= 0) & (b >= 0)
                                 keys, n = np.unique(a[ok] * len(units) + b[ok], return_counts=True)
                                 np.add.at(total, keys // max(1, len(units)), index[keys % max(1, len(units))] * n[:, None].astype(np.float32))
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sum"])
+        parts = range(0, len(units), BLOCK)
+        yield pa.record_batch([pa.array(parts, pa.int32()), pa.array([total[at : at + BLOCK].tobytes() for at in parts], pa.binary())], ["at", "sum"])
 
+    def add(rows: pa.Table) -> pa.Table:
+        whole = np.sum([np.frombuffer(v.as_py(), np.float32) for v in rows.column("sum")], axis=0, dtype=np.float32)
+        return pa.table({"at": rows.column("at").slice(0, 1), "sum": pa.array([whole.tobytes()], pa.binary())})
+
+    # Blocks of the tasks' sums are added in the executors, so that the driver gets one set of vectors.
     total = np.zeros((len(units), dim), np.float32)
-    for r in texts.mapInArrow(sums, "sum binary").collect():
-        total += np.frombuffer(r[0], np.float32).reshape(-1, dim)
+    for r in texts.mapInArrow(sums, "at int, sum binary").groupBy("at").applyInArrow(add, "at int, sum binary").collect():
+        part = np.frombuffer(r[1], np.float32).reshape(-1, dim)
+        total[r[0] : r[0] + len(part)] = part
+    own = np.array([index_vector(u, dim) for u in units], np.float32).reshape(-1, dim)
+    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    total += own / np.float32(np.sqrt(8))
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    total += np.array([index_vector(u, dim) for u in units], np.float32).reshape(-1, dim) / np.sqrt(8)
-    return units, total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    return units, total
 
 
 class Network:
@@ -183,12 +193,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_units: in
     try:
         units, vectors = word_vectors(known.select("text"), max_units)
 
+        shared = docs.sparkSession.sparkContext.broadcast((units, vectors))  # bounded by max_units
+
         def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pooler = Pooler(units, vectors)
+            pooler = Pooler(*shared.value)
             for batch in batches:
                 yield pa.record_batch([batch.column(0), batch.column(2), pa.array([pooler.features(v.as_py()).tobytes() for v in batch.column(1)], pa.binary())], ["doc_id", "quality", "x"])
 
         rows = sorted(tuple(r) for r in known.select("doc_id", "text", "quality").mapInArrow(pool, "doc_id long, quality int, x binary").collect())
+        shared.destroy()
     finally:
         known.unpersist()
     x = np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float32).reshape(len(rows), DIM + RATES)
