@@ -287,8 +287,9 @@ def _search_similar(radius: int):
         def links() -> list[tuple[int, int]]:
             if len(nodes) < 2:
                 return []
-            name = dict(zip(values, nodes, strict=True))
-            return [(name[a], name[b]) for a, b in forest(list(name), radius)]
+            name: dict[int, int] = {}
+            same = [(node, first) for value, node in zip(values, nodes, strict=True) if (first := name.setdefault(value, node)) != node]
+            return same + [(name[a], name[b]) for a, b in forest(list(name), radius)]
 
         for batch in batches:
             out: list[tuple[int, int]] = []

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -451,6 +452,17 @@ def test_similar_groups(spark, awkward, empty, shard_rows):
         assert simhash.similar_groups(empty).count() == 0
 
 
+def test_equal_sketches_are_linked():
+    def found(rows):
+        batch = pa.record_batch([*(pa.array([0] * len(rows), pa.int32()) for _ in range(4)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["t", "k", "p", "q", "node", "sketch"])
+        return {(a, b) for out in simhash._search_similar(50)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+
+    near, far = bytes(32), bytes([255]) * 32
+    assert found([(5, near), (7, near)]) == {(7, 5)}
+    links = found([(5, near), (7, near), (9, near), (11, far)])  # all three hang together, the far one doesn't
+    assert links == {(7, 5), (9, 5)}
+
+
 # --- vectors ---
 
 
