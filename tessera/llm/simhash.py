@@ -48,14 +48,19 @@ def _halves(text: str | None, width: int, longs: int) -> tuple[np.ndarray, int]:
         here = min(1 << 17, n - at)
         shingles = map(b" ".join, zip(*(part[k:] for k in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, here)
-        for k in range(longs):
-            lanes = _SPREAD[h.view(np.uint8).reshape(-1, 8)]  # a byte for each bit, summed over 255 rows at a time
-            counts[k] += np.add.reduceat(lanes, np.arange(0, here, 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
-            h = _next_hash(h)
+        _count_bits(counts, h)
         at += here
     return counts, n
 
 
+def _count_bits(counts: np.ndarray, h: np.ndarray) -> None:
+    """Adds how many of the hashes have each bit to a row of counts for each 64-bit hash of a shingle."""
+    for k in range(len(counts)):
+        lanes = _SPREAD[h.view(np.uint8).reshape(-1, 8)]  # a byte for each bit, summed over 255 rows at a time
+        counts[k] += np.add.reduceat(lanes, np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
+        h = _next_hash(h)
+
+
 def _next_hash(h: np.ndarray) -> np.ndarray:
     """Another hash of the same shingles, by scrambling."""
     h = h + np.uint64(0x9E3779B97F4A7C15)
@@ -252,28 +257,61 @@ SIMILAR_WIDTH = 5
 LONGS = 12  # 64-bit hashes of a shingle: 768 bits
 BAND = 16
 CHECK_LONGS = 4  # the first 256 bits travel along and are compared
+SET_ROWS = 256  # shingle sets in a part of a group that is verified
 
 
 def similar_radius(similarity: float, bits: int = 64 * CHECK_LONGS) -> int:
-    """Bits that may differ: what texts of this Jaccard similarity differ by on average, and two deviations more."""
+    """Bits that may differ: what texts of this Jaccard similarity differ by on average, and four deviations more."""
     cosine = 2 * similarity / (1 + similarity)
     part = float(np.arccos(cosine) / np.pi)
-    return int(bits * part + 2 * np.sqrt(bits * part * (1 - part)))
+    return int(bits * part + 4 * np.sqrt(bits * part * (1 - part)))
+
+
+def shingle_set(text: str | None, width: int = SIMILAR_WIDTH) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(words) - width + 1))
+
+
+def set_name(found: np.ndarray) -> int:
+    """A name for a set of shingles, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """Of two ascending sets; 0 where their sizes alone keep it under ``least``."""
+    small, large = sorted((len(a), len(b)))
+    if not small or small < least * large:
+        return 0.0
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared / (small + large - shared)
 
 
 def long_fingerprints(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """doc_id, node (a name for the fingerprint), sketch (its first bits) and bands of every row of docs(doc_id, text)."""
+    """doc_id, node (a name for the shingle set), sketch (the fingerprint's first bits) and bands of every row of docs(doc_id, text).
+
+    Each distinct shingle counts once. The bands are the fingerprint's bits cut twice, as
+    they stand and by columns; a band of one cut shares at most one bit with a band of the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.zeros((len(batch), LONGS * 8), np.uint8)
+            bits, names = np.zeros((len(batch), 64 * LONGS), bool), np.zeros(len(batch), np.int64)
             for i, value in enumerate(batch.column(1)):
-                counts, n = _halves(value.as_py(), width, LONGS)
-                bits[i] = np.packbits(counts.ravel() * 2 > n, bitorder="little")
-            names = np.array([xxhash.xxh3_64_intdigest(row.tobytes()) for row in bits], np.uint64).view(np.int64)
-            bands = bits.view(np.uint16).astype(np.int32)
+                found = shingle_set(value.as_py(), width)
+                counts = np.zeros((LONGS, 64), np.int64)
+                for at in range(0, len(found), 1 << 17):
+                    _count_bits(counts, found[at : at + (1 << 17)])
+                bits[i], names[i] = counts.ravel() * 2 > len(found), set_name(found)
+            turned = bits.reshape(len(batch), -1, BAND).transpose(0, 2, 1).reshape(len(batch), -1)
+            packed = np.packbits(bits, axis=1, bitorder="little")
+            bands = np.concatenate([packed, np.packbits(turned, axis=1, bitorder="little")], axis=1).view(np.uint16).astype(np.int32)
             lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), bands.ravel())
-            sketch = pa.array([row[: 8 * CHECK_LONGS].tobytes() for row in bits], pa.binary())
+            sketch = pa.array([row[: 8 * CHECK_LONGS].tobytes() for row in packed], pa.binary())
             yield pa.record_batch([batch.column(0), pa.array(names), sketch, lists], ["doc_id", "node", "sketch", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -311,28 +349,87 @@ def _signed_pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x.max(1) if len(x) else x[:, 0]), pa.array(x.min(1) if len(x) else x[:, 0])], ["a", "b"])
 
 
-def similar_groups(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id and component_id for near copies by the similarity of their word shingles.
+def _verify(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+
+        def links() -> list[tuple[int, int]]:
+            root, out = list(range(len(nodes))), []
+
+            def top(i: int) -> int:
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                return i
+
+            for new in range(1, len(nodes)):
+                for at in range(new):
+                    if (a := top(at)) != (b := top(new)) and jaccard(sets[at], sets[new], similarity) >= similarity:
+                        root[b] = a
+                        out.append((nodes[new], nodes[at]))
+            return out
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for k, node, found in zip(keys, batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if k != key:
+                    out += links()
+                    key, nodes, sets = k, [], []
+                nodes.append(node)
+                sets.append(found.values.to_numpy().view(np.uint64))
+            yield _signed_pairs(out)
+        yield _signed_pairs(links())
+
+    return run
+
+
+def verified(docs: DataFrame, candidates: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, set_rows: int = SET_ROWS) -> DataFrame:
+    """Links (a, b) that connect what pairs of at least this Jaccard similarity connect, within the components of candidates(a, b).
+
+    All pairs of a component are compared, candidates or not, save those that links connect
+    already. A component of more than ``set_rows`` is dealt out in pairs of parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(value.as_py(), width) for value in batch.column(0)]
+            names = pa.array([set_name(x) for x in found], pa.int64())
+            yield pa.record_batch([names, pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    loose = staged(components(candidates), "loose")
+    sizes = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / set_rows).cast("int").alias("parts"))
+    loose = loose.join(sizes, "root").select("node", "root", "parts")
+    sets = docs.select("text").mapInArrow(run, "node long, shingles array<long>").join(loose, "node").dropDuplicates(["node"])
+    dealt = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    shard = ["root", "p", "q"]
+    dealt = dealt.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "shingles")
+    return dealt.repartition(*shard).sortWithinPartitions(*shard, "node").mapInArrow(_verify(similarity), "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS, set_rows: int = SET_ROWS) -> DataFrame:
+    """doc_id and component_id for near copies by the Jaccard similarity of their sets of word shingles.
 
     Texts of that similarity differ in more bits than blocks of a 64-bit fingerprint
     forgive, so fingerprints have 768 bits. Each distinct one goes to a shard for every
     band of 16 bits; a shard's BK-tree links those whose first 256 bits are within
     ``similar_radius``. A shard of more than ``shard_rows`` is dealt out in pairs of parts,
-    so every two of its rows still meet.
+    so every two of its rows still meet. What hangs together by these links is then
+    compared by the shingle sets themselves, and only similar pairs are linked.
     """
     fps = staged(long_fingerprints(docs, width), "fingerprints")
     distinct = fps.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     dealt = distinct.select("node", "sketch", F.posexplode("bands").alias("t", "k"))
-    sizes = dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = dealt.join(sizes, ["t", "k"]).withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
+    sizes = fps.select("node", F.posexplode("bands").alias("t", "k")).groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"))  # repeats only make more parts
+    large = staged(sizes.where(F.col("n") > shard_rows).select("t", "k", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")), "large")
+    dealt = dealt.join(large, ["t", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.withColumn("own", own).withColumn("other", other)
     shard = ["t", "k", "p", "q"]
     dealt = dealt.select("t", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "sketch")
     grouped = dealt.repartition(*shard).sortWithinPartitions(*shard, "node")
-    edges = grouped.mapInArrow(_search_similar(similar_radius(similarity)), "a long, b long").distinct()
-    roots = components(edges)
+    candidates = grouped.mapInArrow(_search_similar(similar_radius(similarity)), "a long, b long").distinct()
+    roots = components(verified(docs, candidates, width, similarity, set_rows))
     firsts = fps.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.select("doc_id", "node").join(firsts.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

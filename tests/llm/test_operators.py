@@ -463,6 +463,23 @@ def test_equal_sketches_are_linked():
     assert links == {(7, 5), (9, 5)}
 
 
+@pytest.mark.parametrize("set_rows", [2, 256])
+def test_similar_groups_are_exactly_the_similar_ones(spark, set_rows):
+    rng, docs = np.random.default_rng(11), []
+    for k in range(60):  # pairs just over and under 0.8, and as many words repeated without end
+        words = [f"w{int(x)}" for x in rng.integers(0, 5000, 300)]
+        changed = words.copy()
+        for at in range(6 if k % 2 else 8):  # Jaccard 266 / 326 = 0.816 or 256 / 336 = 0.762
+            changed[10 + 30 * at] = f"new{k}x{at}"
+        docs += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(changed))]
+    docs += [(1000, "the " * 500 + docs[0][1][:200]), (1001, "the " * 500 + docs[2][1][:200])]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in docs for w in [t.split()]}
+    want = {d: d // 10 * 10 if len(sets[d] & sets[d // 10 * 10]) >= 0.8 * len(sets[d] | sets[d // 10 * 10]) else d for d, _ in docs}
+    assert len(set(want.values())) == 92
+    got = rows_of(simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), set_rows=set_rows))
+    assert {d: r["component_id"] for d, r in got.items()} == want
+
+
 # --- vectors ---
 
 
