@@ -23,11 +23,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies (0.8 by five-word shingles): the smallest doc_id. Null ids stay."""
+    """One document of each group of exact and near copies (0.8 by five-word shingles): the smallest doc_id. Null ids stay.
+
+    Where rows share a doc_id, each goes by its own text.
+    """
+    mark = fresh("text_hash", docs.columns)
     groups = simhash.similar_groups(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    first = groups.where("first is not null").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias(mark)).distinct()
+    kept = docs.where("doc_id is not null").withColumn(mark, F.xxhash64("text")).join(first, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -292,7 +292,7 @@ def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
 
 
 def long_fingerprints(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """doc_id, node (a name for the shingle set), sketch (the fingerprint's first bits) and bands of every row of docs(doc_id, text).
+    """doc_id, text_hash, node (a name for the shingle set), sketch (the fingerprint's first bits) and bands of every row of docs(doc_id, text).
 
     Each distinct shingle counts once. The bands are the fingerprint's bits cut twice, as
     they stand and by columns; a band of one cut shares at most one bit with a band of the other.
@@ -312,10 +312,10 @@ def long_fingerprints(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
             bands = np.concatenate([packed, np.packbits(turned, axis=1, bitorder="little")], axis=1).view(np.uint16).astype(np.int32)
             lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), bands.ravel())
             sketch = pa.array([row[: 8 * CHECK_LONGS].tobytes() for row in packed], pa.binary())
-            yield pa.record_batch([batch.column(0), pa.array(names), sketch, lists], ["doc_id", "node", "sketch", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(names), sketch, lists], ["doc_id", "text_hash", "node", "sketch", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, node long, sketch binary, bands array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, sketch binary, bands array<int>")
 
 
 def _search_similar(radius: int):
@@ -407,7 +407,10 @@ def verified(docs: DataFrame, candidates: DataFrame, width: int = SIMILAR_WIDTH,
 
 
 def similar_groups(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS, set_rows: int = SET_ROWS) -> DataFrame:
-    """doc_id and component_id for near copies by the Jaccard similarity of their sets of word shingles.
+    """doc_id, component_id, text_hash and first for near copies by the Jaccard similarity of their sets of word shingles.
+
+    text_hash is xxhash64 of the text. first is the smallest (doc_id, text_hash) of the
+    component, null ids aside; it tells rows apart that share a doc_id.
 
     Texts of that similarity differ in more bits than blocks of a 64-bit fingerprint
     forgive, so fingerprints have 768 bits. Each distinct one goes to a shard for every
@@ -430,9 +433,11 @@ def similar_groups(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: floa
     grouped = dealt.repartition(*shard).sortWithinPartitions(*shard, "node")
     candidates = grouped.mapInArrow(_search_similar(similar_radius(similarity)), "a long, b long").distinct()
     roots = components(verified(docs, candidates, width, similarity, set_rows))
-    firsts = fps.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.select("doc_id", "node").join(firsts.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    firsts = fps.groupBy("node").agg(F.min(row).alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = firsts.groupBy("root").agg(F.min("first").alias("smallest"))
+    named = firsts.join(smallest, "root").select("node", "smallest")
+    return fps.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", F.col("smallest.doc_id").alias("component_id"), "text_hash", F.col("smallest").alias("first"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

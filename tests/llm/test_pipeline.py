@@ -84,3 +84,12 @@ def test_awkward_rows_pass(spark, made):
         assert stage(spark, awkward.limit(0), path).count() == 0
     assert sizes["SimHash near-dedup"] == 4  # the null id, an empty one, x, and the long one
     assert sizes["substring dedup"] == sizes["benchmark decontamination"] == sizes["BPE encoding and decoding"] == len(rows)
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    far, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, far), (2, far), (2, other), (2, other), (3, None), (3, far), (None, far)]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], SCHEMA)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == collections.Counter([(1, far), (2, other), (3, None), (None, far)])
