@@ -5,13 +5,16 @@ small letter, a digit, a comma or a semicolon is a name, a word of digits a numb
 unit after a number a unit; names, numbers and units become typed placeholders, the rest
 lower case. A window is ``WIDTH`` consecutive template words (a shorter item is one window,
 from ``LEAST`` words on) with at least ``LITERALS`` words that aren't placeholders. Windows
-of documents and benchmark items are hash-joined.
+of documents and benchmark items are hash-joined. What is a name depends on punctuation and
+case, so the same words as they stand, lower-cased, make plain windows, which join too; they
+need no literals.
 
 Windows of a document and an item on one diagonal (the same offset) are one occurrence. Its
 slots are consistent if each value in the item always stands for one value in the document;
-only consistent occurrences count, so re-parameterised questions are caught and accidental
-ones aren't. A document is contaminated by an item if at least ``SHARE`` of the item's
-windows are met.
+of an inconsistent occurrence only the plain windows count, so re-parameterised questions
+are caught and accidental ones aren't. A document is contaminated by an item if at least
+``SHARE`` of the item's template windows are met, by either kind (of an item without any: of
+its plain windows).
 
 The benchmark is broadcast after a check of its size: up to ``BROADCAST_ROWS`` windows;
 beyond, the join shuffles. Null texts have no windows. Rows that share a doc_id are judged
@@ -63,21 +66,28 @@ def _is_slot(word: Column) -> Column:
 
 
 def windows(rows: DataFrame, keys: list[str], width: int, whole: bool = False) -> DataFrame:
-    """keys, h, at (from 0) and slots of each window of rows(keys, text).
+    """keys, h, at (from 0), plain and slots of each window of rows(keys, text).
 
-    slots: for each word of the window, the value of its placeholder, or null; null if the
-    text has none. It stays the text's own array, to be cut (``slot_values``) once a window
-    is known to matter. whole: only of texts with just so many words.
+    Template windows of every text, and plain ones of texts with placeholders; elsewhere
+    they are the same. slots: for each word of the text, the value of its placeholder, or
+    null; null if the text has none. It stays the text's own array, to be cut
+    (``slot_values``) once a window is known to matter. whole: only of texts with just so
+    many words.
     """
     t = rows.select(*keys, "text", template(F.col("text")).alias("t"))
     # Values are looked up only for texts with placeholders. No filter on the words' number:
     # it would be pushed below and make the template twice.
-    slots = F.when(F.exists("t", _is_slot), F.zip_with("t", values(F.col("text")), lambda w, v: F.when(_is_slot(w), v)))
-    hashed = t.select(*keys, slots.alias("slots"), F.size("t").alias("n"), F.transform("t", lambda w: F.xxhash64(w)).alias("words"))
+    t = t.select(*keys, "t", F.when(F.exists("t", _is_slot), values(F.col("text"))).alias("v"))
+    slots = F.zip_with("t", "v", lambda w, v: F.when(_is_slot(w), v))
+    hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    hashed = t.select(*keys, slots.alias("slots"), F.size("t").alias("n"), hashes("t").alias("words"), hashes("v").alias("plains"))
     fits = F.col("n") == width if whole else F.col("n") >= width
     starts = F.when(fits, F.sequence(F.lit(0), F.col("n") - width)).otherwise(F.array().cast("array<int>"))
-    each = F.transform(starts, lambda i: F.xxhash64(*(F.get(F.col("words"), i + k) for k in range(width))))
-    return hashed.select(*keys, "slots", F.posexplode(each).alias("at", "h"))
+    each = lambda words: F.transform(starts, lambda i: F.xxhash64(*(F.get(F.col(words), i + k) for k in range(width))))
+    both = F.when(F.col("plains").isNull(), each("words")).otherwise(F.concat(each("words"), each("plains")))
+    count = F.col("n") - (width - 1)
+    found = hashed.select(*keys, "slots", count.alias("count"), F.posexplode(both).alias("pos", "h"))
+    return found.select(*keys, "slots", (F.col("pos") % F.col("count")).alias("at"), (F.col("pos") >= F.col("count")).alias("plain"), "h")
 
 
 def slot_values(slots: Column, at: Column, width: int) -> Column:
@@ -86,17 +96,21 @@ def slot_values(slots: Column, at: Column, width: int) -> Column:
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH, least: int = LEAST, literals: int = LITERALS) -> list[tuple[int, DataFrame]]:
-    """For each window width in use: h, item_id, item_at, item_slots and the item's number of windows."""
+    """For each window width in use: h, item_id, item_at, item_slots, literal (h is of words as they stand), counted and the item's number of counted windows."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
     words = F.size(template(F.col("text")))
     short = sorted(r[0] for r in items.select(words.alias("n")).where((F.col("n") >= least) & (F.col("n") < width)).distinct().collect())  # a few small numbers
     out = []
     for size in [*short, width]:
-        found = windows(items, ["item_id"], size, whole=size < width).withColumn("slots", slot_values(F.col("slots"), F.col("at"), size))
+        found = windows(items, ["item_id"], size, whole=size < width).withColumn("slots", F.when(F.col("plain"), "").otherwise(slot_values(F.col("slots"), F.col("at"), size)))
         literal = size - F.size(F.filter(F.split("slots", " "), lambda s: s != ""))
-        found = found.where(literal >= min(literals, size)).select("h", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-        total = found.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
-        out.append((size, found.join(total, "item_id")))
+        found = found.where(literal >= min(literals, size)).select("h", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "plain")
+        total = found.groupBy("item_id").agg(F.countDistinct(F.when(~F.col("plain"), F.col("item_at"))).alias("templates"), F.countDistinct("item_at").alias("places"))
+        own = found.where(~F.col("plain")).select("item_id", "item_at", F.lit(True).alias("own")).distinct()
+        found = found.join(total, "item_id").join(own, ["item_id", "item_at"], "left")
+        none = F.col("templates") == 0
+        found = found.select("h", "item_id", "item_at", "item_slots", (F.col("item_slots") == "").alias("literal"), (none | F.coalesce("own", F.lit(False))).alias("counted"), F.when(none, F.col("places")).otherwise(F.col("templates")).alias("item_windows"))
+        out.append((size, found.distinct()))
     return out
 
 
@@ -107,18 +121,25 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: f
     for size, found in benchmark_windows(items, width):
         if found.count() <= broadcast_rows:
             found = F.broadcast(found)
-        hits = windows(docs, ["doc_id"], size).join(found, "h").withColumn("slots", slot_values(F.col("slots"), F.col("at"), size))
+        hits = windows(docs, ["doc_id"], size).join(found, "h").withColumn("slots", slot_values(F.col("slots"), F.col("at"), size)).withColumn("width", F.lit(size))
         met = hits if met is None else met.unionByName(hits)
     pairs = F.transform(
         F.filter(F.arrays_zip(F.split("item_slots", " ").alias("a"), F.split("slots", " ").alias("b")), lambda p: p["a"] != ""),
         lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")),
     )
-    places = met.select("doc_id", "item_id", "item_windows", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), pairs.alias("pairs"))
-    occurrences = places.groupBy("doc_id", "item_id", "item_windows", "offset").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    place = F.struct("item_at", "counted", "width")
+    places = met.select("doc_id", "item_id", "item_windows", "literal", place.alias("place"), (F.col("at") - F.col("item_at")).alias("offset"), F.when(~F.col("literal"), pairs).alias("pairs"))
+    occurrences = places.groupBy("doc_id", "item_id", "item_windows", "offset").agg(
+        F.collect_set("place").alias("every"), F.collect_set(F.when(F.col("literal"), F.col("place"))).alias("plain"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    )
     consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.a")))
-    exact = F.forall("pairs", lambda p: p["a"] == p["b"])
-    judged = occurrences.where(consistent).select("doc_id", "item_id", "item_windows", "ats", exact.alias("exact"))
-    judged = judged.groupBy("doc_id", "item_id", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_windows"), F.bool_and("exact").alias("exact"))
+    exact = ~consistent | F.forall("pairs", lambda p: p["a"] == p["b"])
+    judged = occurrences.select("doc_id", "item_id", "item_windows", F.when(consistent, F.col("every")).otherwise(F.col("plain")).alias("met"), exact.alias("exact")).where(F.size("met") > 0)
+    counted = F.transform(F.filter("met", lambda p: p["counted"]), lambda p: p["item_at"])
+    judged = judged.select("doc_id", "item_id", "item_windows", counted.alias("ats"), "exact")
+    judged = judged.groupBy("doc_id", "item_id", "item_windows").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_windows"), F.bool_and("exact").alias("exact")
+    )
     part = F.col("n_windows") / F.col("item_windows")
     return judged.where(part >= share).select("doc_id", "item_id", "n_windows", "item_windows", part.alias("share"), "exact")
 

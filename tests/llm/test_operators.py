@@ -183,6 +183,17 @@ def test_decontamination(spark, awkward, empty):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+PROSE = "On Monday the teacher asked, Why does Paul walk to the old mill? He said that water runs down the hill, and Nobody answered for a very long while until the bell rang at last"
+
+
+def test_decontamination_ignores_punctuation_and_case(spark):
+    plain, short = re.sub(r"[^\w\s]", "", PROSE), "Which river runs past Dover castle?"
+    items = spark.createDataFrame([(0, PROSE), (1, short), (2, PROSE.title())], "item_id long, text string")
+    docs = spark.createDataFrame([(0, plain), (1, PROSE.title()), (2, PROSE.upper()), (3, f"they ask, {short}"), (4, f"they ask {short.lower()}"), (5, "Nothing of the kind stands in this one, as Paul said on Monday")], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["share"] for r in decontamination.contaminated(docs, items).collect()}
+    assert found == {(d, i): 1.0 for d in range(3) for i in (0, 2)} | {(3, 1): 1.0, (4, 1): 1.0}
+
+
 # --- licenses ---
 
 
