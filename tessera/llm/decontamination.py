@@ -14,7 +14,7 @@ slots are consistent if each value in the item always stands for one value in th
 of an inconsistent occurrence only the plain windows count, so re-parameterised questions
 are caught and accidental ones aren't. A document is contaminated by an item if at least
 ``SHARE`` of the item's template windows are met, by either kind (of an item without any: of
-its plain windows).
+its plain windows), or if one occurrence covers ``RUN`` consecutive words of the item.
 
 The benchmark is broadcast after a check of its size: up to ``BROADCAST_ROWS`` windows;
 beyond, the join shuffles. Null texts have no windows. Rows that share a doc_id are judged
@@ -32,6 +32,7 @@ WIDTH = 8
 LEAST = 5
 LITERALS = 4
 SHARE = 0.5
+RUN = 13
 BROADCAST_ROWS = 200_000
 
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"  # private-use characters
@@ -114,7 +115,7 @@ def benchmark_windows(items: DataFrame, width: int = WIDTH, least: int = LEAST,
     return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS, run: int = RUN) -> DataFrame:
     """doc_id, item_id, n_windows (met), item_windows, share and exact for each document and item that it leaks."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     met = None
@@ -136,12 +137,23 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: f
     exact = ~consistent | F.forall("pairs", lambda p: p["a"] == p["b"])
     judged = occurrences.select("doc_id", "item_id", "item_windows", F.when(consistent, F.col("every")).otherwise(F.col("plain")).alias("met"), exact.alias("exact")).where(F.size("met") > 0)
     counted = F.transform(F.filter("met", lambda p: p["counted"]), lambda p: p["item_at"])
-    judged = judged.select("doc_id", "item_id", "item_windows", counted.alias("ats"), "exact")
+    judged = judged.select("doc_id", "item_id", "item_windows", counted.alias("ats"), _longest(F.col("met")).alias("run"), "exact")
     judged = judged.groupBy("doc_id", "item_id", "item_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_windows"), F.bool_and("exact").alias("exact")
+        F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_windows"), F.max("run").alias("run"), F.bool_and("exact").alias("exact")
     )
     part = F.col("n_windows") / F.col("item_windows")
-    return judged.where(part >= share).select("doc_id", "item_id", "n_windows", "item_windows", part.alias("share"), "exact")
+    return judged.where((part >= share) | (F.col("run") >= run)).select("doc_id", "item_id", "n_windows", "item_windows", part.alias("share"), "exact")
+
+
+def _longest(met: Column) -> Column:
+    """The most consecutive words that an occurrence's windows cover."""
+    start = F.struct(F.lit(0).alias("first"), F.lit(-1).alias("end"), F.lit(0).alias("best"))
+
+    def step(so, p):
+        first, end = F.when(p["item_at"] <= so["end"], so["first"]).otherwise(p["item_at"]), p["item_at"] + p["width"]
+        return F.struct(first.alias("first"), end.alias("end"), F.greatest(so["best"], end - first).alias("best"))
+
+    return F.aggregate(F.array_sort(met), start, step, lambda so: so["best"])
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

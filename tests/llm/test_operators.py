@@ -186,6 +186,14 @@ def test_decontamination(spark, awkward, empty):
 PROSE = "On Monday the teacher asked, Why does Paul walk to the old mill? He said that water runs down the hill, and Nobody answered for a very long while until the bell rang at last"
 
 
+def test_decontamination_reports_partial_quotes(spark):
+    words = PROSE.split()
+    items = spark.createDataFrame([(0, PROSE)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "and then " + " ".join(words[:16]) + " it went on"), (1, "so " + " ".join(words[12:25]) + " there"), (2, "so " + " ".join(words[12:24]) + " there"), (3, " ".join(words[:9]) + " x " + " ".join(words[20:29]))], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in decontamination.contaminated(docs, items).collect()}
+    assert set(found) == {0, 1} and all(r["share"] < decontamination.SHARE for r in found.values())  # 16 and 13 words; not 12, nor twice 9
+
+
 def test_decontamination_ignores_punctuation_and_case(spark):
     plain, short = re.sub(r"[^\w\s]", "", PROSE), "Which river runs past Dover castle?"
     items = spark.createDataFrame([(0, PROSE), (1, short), (2, PROSE.title())], "item_id long, text string")
