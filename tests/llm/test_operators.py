@@ -206,12 +206,14 @@ def test_decontamination_ignores_punctuation_and_case(spark):
 
 
 def brute_licenses(text, sets, threshold):
-    labels = set()
-    for block in license_scan.blocks((text or "").translate(license_scan.LOWER)):
-        met = [(len(s & set(block)) / len(s), len(s), k) for k, s in sets if len(s & set(block)) >= license_scan.needed(len(s), threshold)]
-        if met:
-            labels.add(max(met)[2])
-    return labels
+    """Every window of every template, none looked up by its words."""
+    words, met = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()), []
+    for label, own, size in sets:
+        for i in range(max(1, len(words) - size + 1)):
+            have = own & set(words[i : i + size])
+            if have and len(have) >= threshold * len(own) - 1e-9:
+                met.append(((len(have) / len(own), len(own), label), i, i + size, have, own))
+    return {m[0][2] for m in met if not any(o[0] > m[0] and o[1] < m[2] and m[1] < o[2] and m[3] <= o[4] for o in met)}
 
 
 def test_license_scan(spark, awkward, empty):
@@ -230,18 +232,33 @@ def test_license_scan(spark, awkward, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("This work is licensed under the GNU General Public\nLicense, version 2.", {"gpl-2"}),
+    ("Licensed under the Apache License, Version 2.0. Licensed under CC BY-SA 4.0.", {"apache-2", "cc-by-sa"}),
+    ("This work is licensed under the GNU General Public License, version 3. Copyright. All rights reserved. No part may be reproduced without permission.", {"gpl-3", "all-rights-reserved"}),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", {"lgpl-3"}),
+    ("Licensed under CC BY-SA 4.0.", {"cc-by-sa"}),
+    ("it is under the terms of the GNU General Public\n * License as published by the\n * Free Software Foundation; either version 2 of the License, or (at your option) any later version", {"gpl-2"}),
+    ("word " * 5000 + "This is free and unencumbered software released\n\ninto the public domain. " + "word " * 5000, {"unlicense"}),
+])
+def test_license_notices(text, labels):
+    sets = license_scan.templates()
+    assert set(license_scan.scan_text(text, license_scan.Index(sets, {}))[5].split(",")) == labels
+    assert len(text) > 1000 or brute_licenses(text, sets, license_scan.THRESHOLD) == labels
+
+
 def test_license_join_is_exact():
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(30)]
-    sets = [(f"t{k}", frozenset(rng.choice(words, rng.integers(3, 12), replace=False).tolist())) for k in range(20)]
+    sets = [(f"t{k}", frozenset(parts := rng.choice(words, rng.integers(3, 12)).tolist()), len(parts)) for k in range(20)]
     index = license_scan.Index(sets, {w: int(rng.integers(0, 50)) for w in words}, 0.7)
-    for _ in range(400):
-        block = set(rng.choice(words, rng.integers(1, 25), replace=False).tolist())
-        want = {t for t, (_, s) in enumerate(sets) if len(s & block) >= license_scan.needed(len(s), 0.7)}
-        assert set(index.matches(block)) == want
-    text = " ".join(rng.choice(words, 50)) + "\n" + " ".join(rng.choice(words, 20))
-    found = set(license_scan.scan_text(text, index)[5].split(",")) - {""}
-    assert found == brute_licenses(text, sets, 0.7)
+    seen = set()
+    for n in [0, 1, 2, *rng.integers(3, 60, 150)]:
+        text = " ".join(rng.choice(words, n))
+        found = set(license_scan.scan_text(text, index)[5].split(",")) - {""}
+        assert found == brute_licenses(text, sets, 0.7)
+        seen |= found
+    assert len(seen) > 10
 
 
 # --- substring dedup ---
