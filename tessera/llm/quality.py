@@ -1,22 +1,26 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a small network.
 
-Random indexing: each unit (a lower-cased word, or a word's shape: its case and trailing
-marks) owns a sparse random index vector. A unit's word vector is its own index vector
-plus those of its neighbours within two words, summed over a bounded sample of training
-texts. A document is the mean of its words' vectors, with a few pooled rates (distinct
-words, most frequent word, repeats, repeated lines). A two-layer numpy network maps that
-to a score; a temperature fitted on rows set aside calibrates it.
-
-Fitting reads at most ``max_docs`` labelled documents, chosen by a hash of doc_id, and
-keeps at most ``max_units`` word vectors; both bounds are parameters. Every text is scored
-whole. Null texts count as empty and get the network's score for an empty document. With
-no label to learn from, or labels of one class only, the score is that class' share (0.5
-if there is none).
+Random indexing: each unit owns a sparse random index vector, made from its hash, so no
+vocabulary is kept and every word of every text has one. Units are a lower-cased word, its
+shape (case and trailing marks), and two marks of a word that its document has had before
+or that stands in a line that the document has had before. A unit's word vector is its own
+index vector plus a context vector: the index vectors of its neighbours within two words,
+summed over a bounded sample of training texts. Context vectors live in a hashed table of
+``ROWS`` rows, whatever the corpus; units that share a row share a context, not an index
+vector. A document is the mean of its units' vectors. A two-layer numpy network maps that to
+a score; a temperature fitted on rows set aside calibrates it.
+
+Fitting reads at most ``max_docs`` labelled documents, chosen by a hash of doc_id, one text
+for each (of rows that share a doc_id, the one of the smallest hash). Every text is scored
+whole. Null, empty and blank texts get the network's score for an empty document. Repeated
+rows and rows that share a doc_id or have none are scored each on its own; an empty table
+gives an empty result. With no label to learn from, or labels of one class only, the score
+is that class' share (0.5 if there is none). Extra columns stay as they are; the score's
+column is given a name that is free.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,117 +32,139 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bounded_sample, fold, held_out, table
 
-DIM = 96
+DIM = 128
+ONES = 8
+ROWS = 1 << 14
 CUT = 0.3
-RATES = 5
 BLOCK = 512
+MARKS = "!?*$#%&|.,;:()[]{}<>=+~^\"'"
+AGAIN, LINE_AGAIN = "\0again", "\0line"
 
 
 def shape_of(word: str) -> tuple[str, str]:
     """A word's core, lower-cased, and its shape."""
-    core = word.rstrip("!?*$#%&|.,;:()[]{}<>=+~^\"'")
-    marks = word[len(core) :][:3]
+    core = word.rstrip(MARKS)
     case = "-" if not core else "U" if len(core) > 1 and core.isupper() else "T" if core[:1].isupper() else "l" if core.islower() else "d" if core.isdigit() else "x"
-    return core.lower(), f"\0{case}{marks}"
+    return core.lower(), f"\0{case}{word[len(core):]}"
 
 
-def index_vector(unit: str, dim: int = DIM, ones: int = 8) -> np.ndarray:
-    """Sparse and ternary: half of the ``ones`` places are +1, half -1."""
-    rng = np.random.Generator(np.random.Philox(key=[xxhash.xxh64_intdigest(unit), 0]))
-    out = np.zeros(dim, np.float32)
-    out[rng.choice(dim, ones, replace=False)] = np.repeat([1, -1], ones // 2)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def unit_hash(unit: str) -> int:
+    return xxhash.xxh64_intdigest(unit.encode("utf-8", "replace"))
+
+
+def index_vectors(hashes: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """Sparse and ternary, a row for each hash: half of the ``ONES`` places are +1, half -1; places that meet add up."""
+    out = np.zeros((len(hashes), dim), np.float32)
+    row = np.arange(len(hashes))
+    for k in range(ONES):
+        place = _mix(hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(dim)
+        np.add.at(out, (row, place.astype(np.int64)), 1 if k % 2 else -1)
     return out
 
 
+def rows_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The row of the context table that each unit shares."""
+    return (_mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(size)).astype(np.int64)
+
+
 class Pooler:
-    """Texts to feature rows, with given word vectors."""
+    """Texts to feature rows, with a given context table."""
 
-    def __init__(self, units: list[str], vectors: np.ndarray):
-        self.place = {u: i for i, u in enumerate(units)}
-        self.vectors = vectors
-        self.dim = vectors.shape[1]
+    def __init__(self, contexts: np.ndarray, bound: int = 100_000):
+        self.contexts, self.bound = contexts, bound
+        self.clear()
+
+    def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows: dict[tuple[int, str], int] = {}
-        self.table = np.zeros((1024, self.dim), np.float32)
-
-    def row(self, word: str) -> int:
-        core, shape = shape_of(word)
-        key = (self.place.get(core, -1), shape)
-        if (at := self.rows.get(key)) is None:
-            at = len(self.rows)
-            if at == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[at] = sum((self.vectors[i] for i in (key[0], self.place.get(shape, -1)) if i >= 0), np.zeros(self.dim, np.float32))
-            self.rows[key] = at
-        if len(self.known) >= 500_000:
-            self.known.clear()
-        self.known[word] = at
-        return at
+        self.table = np.zeros((1024, self.contexts.shape[1]), np.float32)
+        self.learn([AGAIN, LINE_AGAIN], [(AGAIN,), (LINE_AGAIN,)])
+
+    def learn(self, words: list[str], units: list[tuple[str, ...]]) -> None:
+        """Adds the vectors of new words: the sum of their units'."""
+        hashes = np.array([unit_hash(u) for own in units for u in own], np.uint64)
+        vectors = index_vectors(hashes, self.contexts.shape[1]) / np.float32(np.sqrt(ONES)) + self.contexts[rows_of(hashes, len(self.contexts))]
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        starts = np.cumsum([0] + [len(own) for own in units])[:-1]
+        at = len(self.known)
+        while len(self.table) < at + len(words):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[at : at + len(words)] = np.add.reduceat(vectors, starts, axis=0)
+        self.known.update(zip(words, range(at, at + len(words)), strict=True))
 
     def features(self, text: str | None) -> np.ndarray:
-        out = np.zeros(self.dim + RATES, np.float32)
+        dim = self.contexts.shape[1]
+        out = np.zeros(dim, np.float32)
         words = (text or "").split()
         if not words:
             return out
-        known, n = self.known, len(words)
-        rows = np.array([known[w] if w in known else self.row(w) for w in words], np.int64)
+        distinct = set(words)
+        total = np.zeros(dim, np.float64)
+        if len(self.known) + len(distinct) > self.bound:
+            self.clear()
+        known = self.known
+        new = [w for w in distinct if w not in known]
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            self.learn(part, [tuple(u for u in shape_of(w) if u) for w in part])
+        rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         weights = np.bincount(rows)
         used = np.flatnonzero(weights)
-        out[: self.dim] = weights[used].astype(np.float32) @ self.table[used] / n
-        counts = Counter(words)
+        total += weights[used].astype(np.float32) @ self.table[used]
+        total += (len(words) - len(distinct)) * self.table[0]
         lines = [x for x in text.split("\n") if x]
-        same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-        out[self.dim :] = len(counts) / n, max(counts.values()) / n, same / n, len(set(lines)) / max(1, len(lines)), np.log1p(n) / 10
+        if len(lines) > 1 and len(first := set(lines)) < len(lines):
+            total += (len(words) - sum(len(x.split()) for x in first)) * self.table[1]
+        out[:] = total / len(words)
         return out
 
 
-def word_vectors(texts: DataFrame, max_units: int = 20_000, dim: int = DIM) -> tuple[list[str], np.ndarray]:
-    """The most frequent units of texts(text) and their random-indexing vectors, unit length."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
-        for batch in batches:
-            for value in batch.column(0):
-                for word, n in Counter((value.as_py() or "").split()).items():
-                    for unit in shape_of(word):
-                        total[unit] += n
-        yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["unit", "n"])
-
-    counted = texts.mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("unit <> ''")
-    units = [r[0] for r in counted.orderBy(F.desc("n"), "unit").limit(max_units).collect()]
-    place = {u: i for i, u in enumerate(units)}
+def context_vectors(texts: DataFrame, dim: int = DIM, size: int = ROWS) -> np.ndarray:
+    """The hashed table of context vectors of texts(text), unit length; zero where no unit fell."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = np.array([index_vector(u, dim) for u in units], np.float32).reshape(-1, dim)
-        total = np.zeros_like(index)
+        total = np.zeros((size, dim), np.float32)
         for batch in batches:
             for value in batch.column(0):
-                pairs = [shape_of(w) for w in (value.as_py() or "").split()]
-                cores, shapes = (np.array([place.get(p[k], -1) for p in pairs], np.int64) for k in (0, 1))
-                for own in (cores, shapes):
-                    for near in (cores, shapes):
-                        for by in (1, 2):
-                            for a, b in ((own[:-by], near[by:]), (own[by:], near[:-by])):
-                                ok = (a >= 0) & (b >= 0)
-                                keys, n = np.unique(a[ok] * len(units) + b[ok], return_counts=True)
-                                np.add.at(total, keys // max(1, len(units)), index[keys % max(1, len(units))] * n[:, None].astype(np.float32))
-        parts = range(0, len(units), BLOCK)
+                words = (value.as_py() or "").split()
+                distinct = list(dict.fromkeys(words))
+                place = dict(zip(distinct, range(len(distinct)), strict=True))
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                pairs = [shape_of(w) for w in distinct]
+                for part in range(0, len(at), 1 << 16):  # in pieces, so that a very long text needs little memory
+                    here = at[max(0, part - 2) : part + (1 << 16) + 2]
+                    used, own = np.unique(here, return_inverse=True)
+                    hashes = [np.array([unit_hash(pairs[i][k]) for i in used.tolist()], np.uint64) for k in (0, 1)]
+                    vectors = index_vectors(hashes[0], dim) + index_vectors(hashes[1], dim)
+                    near = np.zeros((len(here), dim), np.float32)
+                    for by in (1, 2):
+                        near[:-by] += vectors[own[by:]]
+                        near[by:] += vectors[own[:-by]]
+                    first = part - max(0, part - 2)
+                    centre = slice(first, first + min(1 << 16, len(at) - part))
+                    order = np.argsort(own[centre], kind="stable")
+                    heads = np.flatnonzero(np.diff(own[centre][order], prepend=-1))
+                    added, of = np.add.reduceat(near[centre][order], heads, axis=0), own[centre][order][heads]
+                    for k in (0, 1):
+                        np.add.at(total, rows_of(hashes[k][of], size), added)
+        parts = range(0, size, BLOCK)
         yield pa.record_batch([pa.array(parts, pa.int32()), pa.array([total[at : at + BLOCK].tobytes() for at in parts], pa.binary())], ["at", "sum"])
 
     def add(rows: pa.Table) -> pa.Table:
         whole = np.sum([np.frombuffer(v.as_py(), np.float32) for v in rows.column("sum")], axis=0, dtype=np.float32)
         return pa.table({"at": rows.column("at").slice(0, 1), "sum": pa.array([whole.tobytes()], pa.binary())})
 
-    # Blocks of the tasks' sums are added in the executors, so that the driver gets one set of vectors.
-    total = np.zeros((len(units), dim), np.float32)
+    # Blocks of the tasks' sums are added in the executors, so that the driver gets one table.
+    total = np.zeros((size, dim), np.float32)
     for r in texts.mapInArrow(sums, "at int, sum binary").groupBy("at").applyInArrow(add, "at int, sum binary").collect():
         part = np.frombuffer(r[1], np.float32).reshape(-1, dim)
         total[r[0] : r[0] + len(part)] = part
-    own = np.array([index_vector(u, dim) for u in units], np.float32).reshape(-1, dim)
-    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    total += own / np.float32(np.sqrt(8))
-    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    return units, total
+    return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
 
 
 class Network:
@@ -184,41 +210,41 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._logit(x) / self.temperature, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_units: int = 20_000, seed: int = 11) -> tuple[list[str], np.ndarray, Network]:
-    """Word vectors and network from docs(doc_id, text) and labels(doc_id, quality)."""
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, seed: int = 11) -> tuple[np.ndarray, Network]:
+    """Context table and network from docs(doc_id, text) and labels(doc_id, quality)."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     marked = bounded_sample(marked.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality")), "doc_id", max_docs, seed)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").repartition(6)
-    known = known.persist()
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
+    known = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").alias("quality"))
+    known = known.persist()  # at most max_docs rows
     try:
-        units, vectors = word_vectors(known.select("text"), max_units)
-
-        shared = docs.sparkSession.sparkContext.broadcast((units, vectors))  # bounded by max_units
+        shared = docs.sparkSession.sparkContext.broadcast(context_vectors(known.select("text")))  # bounded by ROWS
 
         def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pooler = Pooler(*shared.value)
+            pooler = Pooler(shared.value)
             for batch in batches:
                 yield pa.record_batch([batch.column(0), batch.column(2), pa.array([pooler.features(v.as_py()).tobytes() for v in batch.column(1)], pa.binary())], ["doc_id", "quality", "x"])
 
         rows = sorted(tuple(r) for r in known.select("doc_id", "text", "quality").mapInArrow(pool, "doc_id long, quality int, x binary").collect())
+        contexts = shared.value
         shared.destroy()
     finally:
         known.unpersist()
-    x = np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float32).reshape(len(rows), DIM + RATES)
-    return units, vectors, Network(x, np.array([r[1] for r in rows], np.int64))
+    x = np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float32).reshape(len(rows), DIM)
+    return contexts, Network(x, np.array([r[1] for r in rows], np.int64))
 
 
-def score(docs: DataFrame, model: tuple[list[str], np.ndarray, Network], name: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, Network], name: str = "score") -> DataFrame:
     """docs with a score column of this (new) name, every row and column kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_units
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ROWS
     kept = docs.columns
     at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, vectors, network = shared.value
-        pooler = Pooler(units, vectors)
+        contexts, network = shared.value
+        pooler = Pooler(contexts)
         for batch in batches:
-            x = np.array([pooler.features(v.as_py()) for v in batch.column(at)], np.float32).reshape(len(batch), DIM + RATES)
+            x = np.array([pooler.features(v.as_py()) for v in batch.column(at)], np.float32).reshape(len(batch), contexts.shape[1])
             yield pa.record_batch([*batch.columns, pa.array(network.score(x), pa.float64())], [*kept, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

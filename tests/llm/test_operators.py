@@ -348,6 +348,25 @@ def test_quality(spark, awkward, empty):
     assert {r["score"] for r in quality.score(docs.limit(3), one_class).collect()} == {1.0}
 
 
+def test_every_word_has_a_vector():
+    contexts = np.zeros((64, quality.DIM), np.float32)
+    pooler = quality.Pooler(contexts, bound=10)  # a small table is cleared again and again
+    vector = lambda t: pooler.features(t)
+    assert all(np.linalg.norm(vector(w)) > 0.5 for w in ("never-seen", "漢字", "Z9!!!!!!!!!!!!", "...", LONG))
+    assert not np.allclose(vector("what!!!"), vector("what!!!!")) and not vector("").any() and not vector(None).any() and not vector(" \n").any()
+    assert np.allclose(vector(LONG), quality.Pooler(contexts).features(LONG), atol=1e-4)
+    assert not np.allclose(vector("a b a b"), vector("a b")) and not np.allclose(vector("a b\na b"), vector("a b\nb a"))
+    found = quality.index_vectors(np.arange(500, dtype=np.uint64))
+    assert np.abs(found).sum(1).max() <= quality.ONES and (found.sum(1) == 0).all()
+
+
+def test_quality_learns_one_text_of_a_shared_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(200)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert model[0].shape == (quality.ROWS, quality.DIM) and quality.score(docs, model).count() == 201
+
+
 # --- pages ---
 
 FURNITURE = "<nav><ul><li><a href='/a'>Home</a><li>News<li>About us<li>Contact</ul></nav>"
