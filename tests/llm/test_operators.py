@@ -372,39 +372,106 @@ def test_quality_learns_one_text_of_a_shared_id(spark):
 FURNITURE = "<nav><ul><li><a href='/a'>Home</a><li>News<li>About us<li>Contact</ul></nav>"
 
 
+def text_of(page):
+    return html_extraction.main_text("h", html_extraction.blocks(page))
+
+
 def test_blocks():
     page = f"<!DOCTYPE html><title>T</title><script>var x='</p>';</script><body>{FURNITURE}<!-- <p>no</p> --><div class='ad-box'>Buy <b>now</b></div><article><h1>A &amp; B&nbsp;c</h1><p>One\n  two<br>three<p>Four &#233;<aside>Aside</aside><form>Name</form></article><footer>&copy; 2024</footer>"
-    got = html_extraction.main_texts([(1, html_extraction.blocks(page))])
-    assert got == ["A & B c\nOne two three\nFour é"]
-    assert html_extraction.main_texts([(1, html_extraction.blocks(None)), (2, html_extraction.blocks(""))]) == ["", ""]
-
-
-def test_boilerplate_is_what_distinct_pages_share():
-    menu, rng = ["home", "news", "about", "us", "contact"], np.random.default_rng(0)
-    pages = [(k, menu + [f"u{k}-{i}" for i in range(6)] + rng.choice(["a", "b"], 30).tolist()) for k in range(6)]
-    got = html_extraction.boilerplate(pages)
-    grams = collections.defaultdict(set)
-    for k, tokens in pages:
-        for i in range(len(tokens) - 3):
-            grams[tuple(tokens[i : i + 4])].add(k)
-    for (_, tokens), hit in zip(pages, got, strict=True):
-        want = [any(len(grams[tuple(tokens[j : j + 4])]) >= 3 for j in range(max(0, i - 3), min(i + 1, len(tokens) - 3))) for i in range(len(tokens))]
-        assert hit.tolist() == want
-    alone = html_extraction.boilerplate([(1, menu), (1, menu), (1, menu)])
-    assert not any(h.any() for h in alone)
-
-
-def test_extract(spark):
-    plain = [(k, f"http://h.example/{k}", f"<div>Welcome to our little site today</div><div>{k}a {k}b {k}c {k}d {k}e</div>") for k in range(8)]
-    odd = [(100, None, "<p>lonely"), (101, "http://h.example/x", None), (102, "http://h.example/y", ""), (0, "http://h.example/0", plain[0][2])]
-    pages = spark.createDataFrame(plain + odd, "page_id long, url string, html string").withColumn("text", F.lit("extra"))
-    got = html_extraction.extract(pages).collect()
-    assert len(got) == 12
-    texts = {r["page_id"]: r["text"] for r in got}
-    assert texts[3] == "3a 3b 3c 3d 3e" and texts[100] == "lonely" and texts[101] == texts[102] == ""
+    assert text_of(page) == "A & B c\nOne two three\nFour é"
+    assert text_of(None) == text_of("") == text_of("<nav>x</nav>") == ""
+
+
+@pytest.mark.parametrize("page", [
+    "<article class='post comments-open'><p>Body</p></article>",
+    "<main id='search-results'><p>Body</p></main>",
+    "<article><div class='related-work'><p>Body</p></div></article>",
+    "<div class='sidebar-right'><main><p>Body</p></main></div>",
+    "<form><nav>Menu</nav><article><p>Body</p></article></form>",
+    "<article><p>Body</p><div class='related posts'>Else</div><section id='comments'><article class='comment'>First!</article></section></article>",
+    "<article><p>Body</p></article><article class='comment'>First!</article><div class='comments'><article>Second!</article></div>",
+    "<div class='main-content'><p>Body</p><div class='social share-buttons'>Tell all</div></div><div>Else</div>",
+])
+def test_class_words_take_furniture_and_leave_the_article(page):
+    assert text_of(page) == "Body"
+
+
+def brute_texts(rows):
+    """By definition, over (url, html): substrings and blocks on distinct pages of a host, counted one by one."""
+    n, pages, out = html_extraction.MIN_TOKENS, collections.defaultdict(dict), []
+    for url, page in rows:
+        found = html_extraction.blocks(page)
+        pages[(url or "").split("/")[2] if url else ""][tuple(found)] = [t for t, p in found if p != "article"]
+    common = {}
+    for host, own in pages.items():
+        seen = collections.defaultdict(set)
+        for k, texts in enumerate(own.values()):
+            words = " ".join(texts).split(" ")
+            for i in range(len(words) - n + 1):
+                seen[tuple(words[i : i + n])].add(k)
+            for t in texts:
+                seen[t].add(k)
+        common[host] = {x for x, ks in seen.items() if len(ks) >= 3 and (isinstance(x, tuple) or len(ks) >= 0.3 * len(own))}
+    for url, page in rows:
+        bad, found = common[(url or "").split("/")[2] if url else ""], html_extraction.blocks(page)
+        words = " ".join(t for t, p in found if p != "article").split(" ")
+        gone = [any(tuple(words[j : j + n]) in bad for j in range(max(0, i - n + 1), min(i, len(words) - n) + 1)) for i in range(len(words))]
+        kept, at = [], 0
+        for text, place in found:
+            if place == "article":
+                kept.append(text)
+                continue
+            size = len(text.split(" "))
+            left = [w for w, g in zip(words[at : at + size], gone[at : at + size], strict=True) if not g]
+            at += size
+            if left and text not in bad:
+                kept.append(" ".join(left))
+        out.append("\n".join(kept))
+    return out
+
+
+def unmarked_pages(n=90):
+    rng, out = np.random.default_rng(5), []
+    voc = [f"w{i}" for i in range(300)]
+    prose = lambda k: " ".join(rng.choice(voc, k))
+    notice, quote = prose(40), prose(25)
+    for k in range(n):
+        body = f"<div>Home</div><div>Log in</div><div class='post'>{prose(50)}</div><div>Page k{k} says that at the end of the day we all agree with number x{k}</div>"
+        if k % 7 == 0:
+            body += f"<div>{prose(6)} {notice} {prose(5)}</div>"
+        if k % 40 == 1:
+            body += f"<p>{quote}"  # on two pages only, or on three of a host of ninety
+        if k % 3 == 0:
+            body = f"<article><p>{quote}</p><div class='related-work'>{notice if k % 2 else prose(30)}</div></article>" + body
+        out.append((k, f"http://{'big' if k % 10 else 'small'}.example/{k}", body))
+    return out + [(n + i, out[i][1], out[i][2]) for i in range(0, 40, 3)] + [(None, None, "<p>lonely"), (500, "http://big.example/x", None), (501, "http://big.example/y", ""), (502, "http://huge.example/", "<p>" + LONG), (0, out[0][1], out[0][2])]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 32])
+def test_extract_equals_brute_force_however_pages_are_dealt(spark, parts):
+    rows = unmarked_pages()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("extra")).withColumn("host", F.lit("extra"))
+    got = collections.Counter(tuple(r) for r in html_extraction.extract(pages.repartition(parts)).collect())
+    want = brute_texts([r[1:] for r in rows])
+    assert got == collections.Counter((*r[:2], t) for r, t in zip(rows, want, strict=True))
+    assert "Home" not in want[1] and "Page k1 says that at the end of the day we all agree with number x1" in want[1]
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_substrings_are_counted_by_page():
+    rng = np.random.default_rng(0)
+    pages = [("a" if k % 2 else "b", k, [" ".join(rng.choice(["x", "y"], 30)), "one block"]) for k in range(12)]
+    seen = collections.defaultdict(set)
+    for h, k, texts in pages:
+        words = " ".join(texts).split(" ")
+        for w in html_extraction.window_hashes(h, words).tolist():
+            seen[w].add(k)
+        for t in texts:
+            seen[html_extraction.block_hash(h, t)].add(k)
+    assert {h: set(p) for h, _, p in html_extraction.substrings(pages)} == dict(seen)
+    assert html_extraction.substrings([]) == []
+
+
 # --- near duplicates ---
 
 
