@@ -12,10 +12,14 @@ fingerprints agree on at least two whole blocks. So each distinct fingerprint go
 radius only. Shards of more than ``SHARD_ROWS`` fingerprints are cut again, in the same
 exact way, by the bits that are not in the key; at most 2^16 fingerprints can share both
 keys. Trees live in the executors; nothing is collected. A shard emits a spanning forest
-of its links, never all pairs, and components come from alternating star contraction.
-
-Repeated rows are members like any other. A null doc_id is never a smallest one; a
-component of null doc_ids only gets a null component_id.
+of its links, never all pairs, and components come from alternating star contraction over
+(smallest doc_id, fingerprint), so a component's root names it and no component is gathered.
+What is joined on a key that many rows may share is a written table on both sides, so that
+AQE can split the key or broadcast the smaller side after a check of its size.
+
+Very long texts are read in pieces, whole. Repeated rows, and rows that share a doc_id, are
+members like any other. A null doc_id is never a smallest one; a component of null doc_ids
+only gets a null component_id. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -203,7 +207,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) ->
     shards = _shards(radius)
     keys = F.array(*(F.struct(F.lit(t).alias("t"), _bits(key).alias("k")) for t, (key, _) in enumerate(shards)))
     dealt = distinct.select("fp", F.explode(keys).alias("s")).select("s.t", "s.k", "fp")
-    sizes = dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = staged(dealt.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     dealt = dealt.join(sizes, ["t", "k"])
     small = dealt.where(F.col("n") <= shard_rows).select("t", "k", F.lit(0).alias("t2"), F.lit(0).cast("long").alias("k2"), "fp")
     again = F.lit(None)
@@ -218,19 +222,20 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root for every node of edges(a, b), a != b: the smallest node of its component.
+    """node and root for every node of edges(a, b), a != b, of any type with an order: the smallest node of its component.
 
-    Large-star and small-star rounds until the edges no longer change; every round is
-    written to the shared folder. A round's joins are by node, and stars only ever point
-    to smaller nodes, so hot nodes end up on the side that AQE can split.
+    Large-star and small-star rounds until the edges no longer change. In a large star a node
+    hands its smallest neighbour to its larger ones, in a small star to its smaller ones; edges
+    are kept as (larger, smaller), so a root never looks anything up. Every round, and the
+    small table of smallest neighbours that it joins, is written to the shared folder.
     """
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("lo")).select("a", F.least("a", "lo").alias("lo"))
-        edges = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("lo").alias("b")).distinct()
-        low = edges.groupBy("a").agg(F.min("b").alias("lo"))
+        low = staged(edges.groupBy("a").agg(F.min("b").alias("lo")), "low")
+        large = edges.join(low.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("lo", "b").alias("b"))
+        edges = staged(large.distinct(), "edges")
+        low = staged(edges.groupBy("a").agg(F.min("b").alias("lo")), "low")
         rest = edges.join(low, "a").where("b <> lo").select(F.col("b").alias("a"), F.col("lo").alias("b"))
         edges = staged(rest.unionByName(low.select("a", F.col("lo").alias("b"))).distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
@@ -240,14 +245,30 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def classes(links: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
+    """key and smallest of every row of firsts(key, first): the smallest first of all that links(a, b) of keys connect. Staged.
+
+    first is a struct that is never null.
+    """
+    found = links
+    for end in ("a", "b"):
+        found = found.join(firsts.select(F.col(key).alias(end), F.col("first").alias(f"first_{end}")), end)
+    roots = components(found.select(*(F.struct(F.col(f"first_{x}").alias("first"), F.col(x).alias("key")).alias(x) for x in ("a", "b"))))
+    roots = roots.select(F.col("node.key").alias(key), F.col("root.first").alias("smallest"))
+    return staged(firsts.join(roots, key, "left").select(key, F.coalesce("smallest", "first").alias("smallest")), "classes")
+
+
+def _last_if_null(*columns: str) -> Column:
+    """A struct of the columns that comes after all others where the first is null."""
+    return F.struct(F.col(columns[0]).isNull().alias("none"), *columns)
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) of every row of docs(doc_id, text)."""
     fps = staged(fingerprints(docs, width), "fingerprints")
-    roots = components(links(fps, radius, shard_rows)).withColumnRenamed("node", "fp")
-    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = firsts.join(smallest, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    firsts = staged(fps.groupBy("fp").agg(F.min(_last_if_null("doc_id")).alias("first")), "firsts")
+    found = classes(links(firsts, radius, shard_rows), firsts, "fp")
+    return fps.join(found, "fp").select("doc_id", "fp", F.col("smallest.doc_id").alias("component_id"))
 
 
 # --- near copies by similarity: longer fingerprints, banded ---
@@ -383,23 +404,26 @@ def _verify(similarity: float):
     return run
 
 
-def verified(docs: DataFrame, candidates: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, set_rows: int = SET_ROWS) -> DataFrame:
+def verified(docs: DataFrame, candidates: DataFrame, firsts: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, set_rows: int = SET_ROWS) -> DataFrame:
     """Links (a, b) that connect what pairs of at least this Jaccard similarity connect, within the components of candidates(a, b).
 
     All pairs of a component are compared, candidates or not, save those that links connect
-    already. A component of more than ``set_rows`` is dealt out in pairs of parts.
+    already. A component of more than ``set_rows`` is dealt out in pairs of parts. Shingle sets
+    are made once for each node, from the row that firsts(node, first) names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(value.as_py(), width) for value in batch.column(0)]
-            names = pa.array([set_name(x) for x in found], pa.int64())
-            yield pa.record_batch([names, pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "shingles"])
+            yield pa.record_batch([batch.column(1), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "shingles"])
 
     loose = staged(components(candidates), "loose")
-    sizes = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / set_rows).cast("int").alias("parts"))
-    loose = loose.join(sizes, "root").select("node", "root", "parts")
-    sets = docs.select("text").mapInArrow(run, "node long, shingles array<long>").join(loose, "node").dropDuplicates(["node"])
+    sizes = staged(loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / set_rows).cast("int").alias("parts")), "sizes")
+    meant = staged(firsts.select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")).join(loose, "node").select("node", "id", "hash"), "meant")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    texts = texts.join(meant, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node")
+    sets = texts.groupBy("node").agg(F.first("text").alias("text")).select("text", "node").mapInArrow(run, "node long, shingles array<long>")
+    sets = sets.join(loose, "node").join(sizes, "root")
     dealt = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     shard = ["root", "p", "q"]
     dealt = dealt.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "shingles")
@@ -420,9 +444,10 @@ def similar_groups(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: floa
     compared by the shingle sets themselves, and only similar pairs are linked.
     """
     fps = staged(long_fingerprints(docs, width), "fingerprints")
-    distinct = fps.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    distinct = staged(fps.groupBy("node").agg(F.min(_last_if_null("doc_id", "text_hash")).alias("first"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "distinct")
+    firsts = distinct.select("node", "first")
     dealt = distinct.select("node", "sketch", F.posexplode("bands").alias("t", "k"))
-    sizes = fps.select("node", F.posexplode("bands").alias("t", "k")).groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"))  # repeats only make more parts
+    sizes = distinct.select("node", F.posexplode("bands").alias("t", "k")).groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"))
     large = staged(sizes.where(F.col("n") > shard_rows).select("t", "k", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")), "large")
     dealt = dealt.join(large, ["t", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -432,12 +457,9 @@ def similar_groups(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: floa
     dealt = dealt.select("t", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "sketch")
     grouped = dealt.repartition(*shard).sortWithinPartitions(*shard, "node")
     candidates = grouped.mapInArrow(_search_similar(similar_radius(similarity)), "a long, b long").distinct()
-    roots = components(verified(docs, candidates, width, similarity, set_rows))
-    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
-    firsts = fps.groupBy("node").agg(F.min(row).alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = firsts.groupBy("root").agg(F.min("first").alias("smallest"))
-    named = firsts.join(smallest, "root").select("node", "smallest")
-    return fps.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", F.col("smallest.doc_id").alias("component_id"), "text_hash", F.col("smallest").alias("first"))
+    found = classes(verified(docs, candidates, firsts, width, similarity, set_rows), firsts, "node")
+    smallest = F.when(~F.col("smallest.none"), F.struct("smallest.doc_id", "smallest.text_hash"))
+    return fps.select("doc_id", "text_hash", "node").join(found, "node").select("doc_id", F.col("smallest.doc_id").alias("component_id"), "text_hash", smallest.alias("first"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
