@@ -1,24 +1,27 @@
 """Approximate nearest neighbours by largest inner product: inverted lists with an adaptive dimension scan.
 
-Index. Vectors get one more component so that all have the length of the longest; then the
-nearest by distance is the largest inner product. A random orthogonal matrix rotates them,
-and k-means centroids, fitted on a bounded sample, deal every one of them to its nearest
-list.
-
-Search. A query probes the lists nearest to it. Within a list, candidates are scanned in
-column blocks of the rotated vectors. After m of D columns, the partial squared distance
-scaled by D / m estimates the whole; a hypothesis test abandons a candidate once that
-exceeds (1 + epsilon / sqrt(m))^2 times the distance of the k-th best so far. Survivors are
-scored by the inner product of the original vectors in double precision.
+Index. Vectors are scaled by the longest one's length and get one more component, so that all
+have length one; then the nearest by distance is the largest inner product. A random
+orthogonal matrix rotates them, and k-means centroids, fitted on a bounded sample, deal every
+one of them to its nearest list.
+
+Search. A query probes the lists nearest to it. Its k best within the sample are found at
+once; the last of them is a bound that holds in every list, and that travels with it. Within a list, candidates are
+scanned in column blocks of the rotated vectors. After m of D columns, the partial squared
+distance scaled by D / m estimates the whole; a hypothesis test abandons a candidate once
+that exceeds (1 + epsilon / sqrt(m))^2 times the bound, which tightens with every piece of
+the list. Survivors are scored by the inner product of the original vectors in double
+precision.
 
 Work is dealt out in units of at most ``UNIT_ROWS`` rows of a list times ``UNIT_QUERIES``
 of its queries, so no list, however large, lands in one task. Only centroids, list sizes
-(both bounded by ``lists``) and the sample reach the driver.
+(both bounded by ``lists``) and the sample (at most ``sample_rows`` vectors) reach the driver.
 
 Vectors that are null, zero, of a length other than the most common one, or that hold null
 or non-finite components take no part. Rows that share a vec_id are one candidate (its best
 score) and never their own neighbour; a null vec_id takes no part. Ties go to the smaller
-vec_id.
+vec_id. Double input stays double. An empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import bounded_sample, staged
 
@@ -37,6 +41,7 @@ K = 20
 UNIT_ROWS = 8192
 UNIT_QUERIES = 1024
 COLUMNS = 16
+PIECE = 2048
 EPSILON = 2.1
 
 
@@ -50,24 +55,43 @@ class Index:
     centroids: np.ndarray
     sizes: np.ndarray
     probes: int = 1
+    sample_ids: np.ndarray | None = None
+    sample: np.ndarray | None = None  # rotated
+    plain: np.ndarray | None = None
 
     def rotated(self, x: np.ndarray, query: bool = False) -> np.ndarray:
-        """Vectors with their extra component (0 for queries, which are scaled to unit length), rotated."""
+        """Vectors, of length one by their extra component (queries: by scaling), rotated."""
         x = x.astype(np.float64)
-        square = (x * x).sum(1)
-        extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.longest**2 - square, 0))
         if query:
-            x = x * (self.longest / np.sqrt(square))[:, None]
+            x = x / np.abs(x).max(1, keepdims=True)
+            x, extra = x / np.sqrt((x * x).sum(1, keepdims=True)), np.zeros(len(x))
+        else:
+            x = x / self.longest
+            extra = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
         return (np.concatenate([x, extra[:, None]], 1) @ self.rotation).astype(np.float32)
 
     def distances(self, x: np.ndarray) -> np.ndarray:
         return (x * x).sum(1)[:, None] - 2 * x @ self.centroids.T + (self.centroids * self.centroids).sum(1)
 
+    def nearest(self, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of rotated queries' k nearest in the sample, and squared distances that hold them; infinite if the sample is too small."""
+        if self.sample is None or len(self.sample) <= k:
+            return np.zeros((len(x), 0), np.int64), np.full(len(x), np.inf)
+        found = np.zeros((len(x), k), np.int64)
+        out = np.zeros(len(x))
+        for at in range(0, len(x), 256):
+            d = 2 - 2 * x[at : at + 256] @ self.sample.T
+            d[ids[at : at + 256, None] == self.sample_ids] = np.inf
+            found[at : at + 256] = np.argpartition(d, k - 1, axis=1)[:, :k]
+            out[at : at + 256] = np.take_along_axis(d, found[at : at + 256], 1).max(1)
+        return found, out * (1 + 1e-5) + 1e-5  # rounding
+
 
 def clean(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding of the rows that take part, before the check of their length."""
+    kind = "double" if isinstance(vectors.schema["embedding"].dataType.elementType, DoubleType) else "float"
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(ok & F.exists("embedding", lambda x: x != 0))
 
 
@@ -88,26 +112,29 @@ def kmeans(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 5) -> np.ndar
     return centroids
 
 
-def build(rows: DataFrame, sample_rows: int = 20_000, max_lists: int = 4096, target: float = 0.96, seed: int = 5) -> tuple[DataFrame, Index] | None:
+def build(rows: DataFrame, sample_rows: int = 20_000, max_lists: int = 4096, target: float = 0.95, seed: int = 5) -> tuple[DataFrame, Index] | None:
     """Every vector of rows(vec_id, embedding) with its list, staged; and the index. None without vectors.
 
-    The centroids are fitted on at most ``sample_rows`` vectors; the number of lists is a
-    quarter of the root of the number of vectors, at most ``max_lists``. How many lists a
-    query probes is fitted on the sample too: enough for ``target`` of its true neighbours.
+    The centroids are fitted on at most ``sample_rows`` vectors; the number of lists is half
+    the root of the number of vectors, at most ``max_lists``. How many lists a query probes
+    is fitted on the sample too: enough for ``target`` of its true neighbours.
     """
     common = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").head()
     if common is None:
         return None
     dim, n = common["dim"], common["n"]
     rows = rows.where(F.size("embedding") == dim)
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    longest = float(np.sqrt(rows.agg(F.max(square)).head()[0]))
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    length = most * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x.cast("double") / most) * (x.cast("double") / most)))
+    longest = float(rows.agg(F.max(length)).head()[0])
     rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim + 1, dim + 1)))[0]
     index = Index(dim, longest, rotation, np.zeros((1, dim + 1), np.float32), np.zeros(1))
-    sample = sorted(tuple(r) for r in bounded_sample(rows, "vec_id", sample_rows, seed).limit(sample_rows).collect())
-    x = index.rotated(np.array([r[1] for r in sample], np.float32).reshape(-1, dim))
-    index.centroids = kmeans(x, int(min(max_lists, len(x), max(1, round(np.sqrt(n) / 4)))))
-    index.probes = fitted_probes(x, np.array([r[1] for r in sample], np.float32).reshape(-1, dim), index, target)
+    taken = bounded_sample(rows, "vec_id", sample_rows, seed).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # a row an id
+    sample = sorted(tuple(r) for r in taken.collect())
+    plain = np.array([r[1] for r in sample], np.float64).reshape(-1, dim)
+    index.sample_ids, index.sample, index.plain = np.array([r[0] for r in sample], np.int64), index.rotated(plain), plain
+    index.centroids = kmeans(index.sample, int(min(max_lists, len(sample), max(1, round(np.sqrt(n) / 2)))))
+    index.probes = fitted_probes(index.sample, plain, index, target)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +143,8 @@ def build(rows: DataFrame, sample_rows: int = 20_000, max_lists: int = 4096, tar
                 near = index.distances(index.rotated(_matrix(part.column(1), dim))).argmin(1)
                 yield pa.record_batch([*part.columns, pa.array(near.astype(np.int32))], ["vec_id", "embedding", "list"])
 
-    dealt = staged(rows.mapInArrow(deal, "vec_id long, embedding array<float>, list int"), "vectors")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    dealt = staged(rows.mapInArrow(deal, f"vec_id long, embedding {kind}, list int"), "vectors")
     index.sizes = np.zeros(len(index.centroids), np.int64)
     for r in dealt.groupBy("list").count().collect():
         index.sizes[r[0]] = r[1]
@@ -140,78 +168,95 @@ def fitted_probes(x: np.ndarray, plain: np.ndarray, index: Index, target: float,
 
 
 def probed(x: np.ndarray, index: Index, probes: int, k: int) -> list[np.ndarray]:
-    """The lists that each query probes: the nearest ones, and more while they hold too few vectors."""
-    order = index.distances(index.rotated(x, query=True)).argsort(1, kind="stable")
+    """The lists that each rotated query probes: the nearest ones, and more while they hold too few vectors."""
+    order = index.distances(x).argsort(1, kind="stable")
     held = np.cumsum(index.sizes[order], 1)
     need = np.maximum(probes, (held < k + 1).sum(1) + 1)
     return [row[:n] for row, n in zip(order, need, strict=True)]
 
 
-def scan(base: np.ndarray, query: np.ndarray, own: np.ndarray, k: int = K, epsilon: float = EPSILON, first: int = 256) -> np.ndarray:
-    """Places of the candidates that may be among the k nearest to a query; own: the query's own rows.
+def scan(base: np.ndarray, query: np.ndarray, ids: np.ndarray, own: int | None, k: int = K, epsilon: float = EPSILON, bound: float = np.inf) -> np.ndarray:
+    """Places of the candidates that may be among the k nearest to a query; own: the query's id.
 
     base: rotated vectors, one row for each column, so that a block of columns is contiguous.
+    bound: a squared distance within which there are at least k candidates somewhere. Ids that
+    repeat are one candidate.
     """
-    dim, n = base.shape
-    left = np.flatnonzero(~own)
-    if len(left) <= k:
-        return left
-    start = left[:first]
-    d = ((base[:, start] - query[:, None]) ** 2).sum(0)
-    bound = np.partition(d, k - 1)[k - 1] if len(start) >= k else np.inf
-    kept = [start[d <= bound]]
-    left = left[first:]
-    partial = np.zeros(len(left), np.float32)
-    for at in range(0, dim, COLUMNS):
-        if not len(left):
-            break
-        end = min(dim, at + COLUMNS)
-        partial += ((base[at:end][:, left] - query[at:end, None]) ** 2).sum(0)
-        loose = (1 + epsilon / np.sqrt(end)) ** 2 if end < dim else 1.0
-        stay = partial * (dim / end) <= bound * loose
-        left, partial = left[stay], partial[stay]
-    kept.append(left)
-    return np.concatenate(kept)
+    dim = base.shape[0]
+    near, far = np.zeros(0, np.int64), np.zeros(0, np.float32)
+    for start in range(0, base.shape[1], PIECE):
+        piece = base[:, start : start + PIECE]
+        left = np.flatnonzero(ids[start : start + PIECE] != own) if own is not None else np.arange(piece.shape[1])
+        partial = np.zeros(len(left), np.float32)
+        for at in range(0, dim, COLUMNS):
+            end = min(dim, at + COLUMNS)
+            block = piece[at:end] if len(left) == piece.shape[1] else piece[at:end][:, left]
+            partial = partial + ((block - query[at:end, None]) ** 2).sum(0)
+            loose = (1 + epsilon / np.sqrt(end)) ** 2 if end < dim else 1.0
+            stay = partial * (dim / end) <= bound * loose
+            if not stay.all():
+                left, partial = left[stay], partial[stay]
+                if not len(left):
+                    break
+        if len(left):
+            near, far = np.concatenate([near, left + start]), np.concatenate([far, partial])
+            order = np.argsort(far, kind="stable")
+            first = order[np.sort(np.unique(ids[near[order]], return_index=True)[1])]
+            if len(first) >= k:
+                bound = min(bound, float(far[first[k - 1]]) * (1 + 1e-5) + 1e-5)
+                near, far = near[far <= bound], far[far <= bound]
+    return near
 
 
 def search(dealt: DataFrame, index: Index, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found to each of queries(vec_id, embedding)."""
     dim = index.dim
+    kind = dealt.schema["embedding"].dataType.simpleString()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                lists = probed(_matrix(part.column(1), dim), index, index.probes, k)
+                turned = index.rotated(_matrix(part.column(1), dim), query=True)
+                lists, bounds = probed(turned, index, index.probes, k), index.nearest(part.column(0).to_numpy(), turned, k)[1]
                 rows = pa.array(np.repeat(np.arange(len(part)), [len(x) for x in lists]))
-                yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(lists).astype(np.int32))], ["vec_id", "embedding", "list"])
+                yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(lists).astype(np.int32)), pa.array(bounds).take(rows)], ["vec_id", "embedding", "list", "bound"])
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                keys, x = batch.column(0).slice(at, 1024).to_numpy(), _matrix(batch.column(1).slice(at, 1024), dim)
+                found, _ = index.nearest(keys, index.rotated(x, query=True), k)
+                score = np.einsum("qkd,qd->qk", index.plain[found], x.astype(np.float64))
+                yield pa.record_batch([pa.array(np.repeat(keys, found.shape[1])), pa.array(index.sample_ids[found].ravel()), pa.array(score.ravel())], ["query_id", "vec_id", "score"])
 
-    sent = staged(queries.mapInArrow(send, "vec_id long, embedding array<float>, list int"), "queries")
+    sent = staged(queries.mapInArrow(send, f"vec_id long, embedding {kind}, list int, bound double"), "queries")
     asked = sent.groupBy("list").agg(F.count(F.lit(1)).alias("queries"))
     held = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("rows"))
     parts = F.broadcast(held.join(asked, "list").select("list", F.ceil(F.col("rows") / UNIT_ROWS).alias("r"), F.ceil(F.col("queries") / UNIT_QUERIES).alias("q")))  # a row a list
     mine = F.pmod(F.xxhash64("vec_id"), F.col("r")).alias("rp")
     theirs = F.pmod(F.xxhash64("vec_id"), F.col("q")).alias("qp")
-    base = dealt.join(parts, "list").select("list", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("qp"), F.lit(0).alias("kind"), "vec_id", "embedding")
-    sent = sent.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r") - 1)).alias("rp"), theirs, F.lit(1).alias("kind"), "vec_id", "embedding")
+    base = dealt.join(parts, "list").select("list", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("qp"), F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(0.0).alias("bound"))
+    sent = sent.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r") - 1)).alias("rp"), theirs, F.lit(1).alias("kind"), "vec_id", "embedding", "bound")
     units = base.unionByName(sent).repartition("list", "rp", "qp").sortWithinPartitions("list", "rp", "qp", "kind", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, ids, plain, turned = None, [], [], None
 
-        def answer(keys: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        def answer(keys: np.ndarray, x: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
             nonlocal ids, plain, turned
             if turned is None:
                 ids, plain = np.concatenate(ids), np.concatenate(plain)
                 turned = np.ascontiguousarray(index.rotated(plain).T)
                 plain = plain.astype(np.float64)
             out = []
-            for key, v, q in zip(keys.tolist(), x.astype(np.float64), index.rotated(x, query=True), strict=True):
-                found = scan(turned, q, ids == key, k)
+            for key, v, q, bound in zip(keys.tolist(), x.astype(np.float64), index.rotated(x, query=True), bounds.tolist(), strict=True):
+                found = scan(turned, q, ids, key, k, bound=bound)
                 score = plain[found] @ v
-                found, score = found[(top := np.lexsort((ids[found], -score))[: 4 * k])], score[top]
-                found, score = found[(u := np.sort(np.unique(ids[found], return_index=True)[1]))][:k], score[u][:k]
-                out.append((np.full(len(found), key), ids[found], score))
+                order = np.lexsort((ids[found], -score))
+                found, score = found[order], score[order]
+                first = np.sort(np.unique(ids[found], return_index=True)[1])[:k]
+                out.append((np.full(len(first), key), ids[found[first]], score[first]))
             return pa.record_batch([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["query_id", "vec_id", "score"])
 
         for batch in batches:
@@ -225,9 +270,9 @@ def search(dealt: DataFrame, index: Index, queries: DataFrame, k: int = K) -> Da
                     ids.append(key)
                     plain.append(x)
                 elif len(ids):
-                    yield answer(key, x)
+                    yield answer(key, x, batch.column(6).slice(a, b - a).to_numpy())
 
-    found = units.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = units.mapInArrow(run, "query_id long, vec_id long, score double").unionByName(queries.select("vec_id", "embedding").mapInArrow(start, "query_id long, vec_id long, score double"))
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

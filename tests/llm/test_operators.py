@@ -631,16 +631,32 @@ def test_vector_search(spark, empty):
 
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(4)
-    base, hits = rng.normal(size=(64, 2000)).astype(np.float32), 0
+    base, hits = rng.normal(size=(64, 5000)).astype(np.float32), 0
     for _ in range(30):
         q = rng.normal(size=64).astype(np.float32)
-        near = np.argsort(((base - q[:, None]) ** 2).sum(0))[:20]
-        found = vector_search.scan(base, q, np.zeros(2000, bool))
+        d = ((base - q[:, None]) ** 2).sum(0)
+        near = np.argsort(d)[:20]
+        found = vector_search.scan(base, q, np.arange(5000), None)
         hits += len(set(near.tolist()) & set(found.tolist()))
-        assert len(found) < 1500
+        assert len(found) < 200 and set(vector_search.scan(base, q, np.arange(5000), None, bound=float(d[near[-1]]) + 1e-3).tolist()) <= set(found.tolist())
     assert hits >= 0.97 * 600
 
 
+def test_repeated_ids_do_not_crowd_out_others(spark):
+    rng = np.random.default_rng(6)
+    rows = [(20, [9.0, 0.0, 0.0])] + [(1, [8.0, 0.1, 0.0])] * 300 + [(2 + i, [1.0 + i / 10, *rng.normal(size=2).tolist()]) for i in range(12)]
+    dealt, index = vector_search.build(vector_search.clean(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    got = vector_search.search(dealt, index, dealt.where("vec_id = 20").select("vec_id", "embedding"), k=5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 13, 12, 11, 10] and got[0]["score"] == 72.0
+
+
+def test_double_vectors_stay_double(spark):
+    tiny = [(i, [1.0 + i * 1e-12, 1e-30]) for i in range(30)] + [(100, [1e150, 1e150]), (101, [1e-200, 0.0])]
+    dealt, index = vector_search.build(vector_search.clean(spark.createDataFrame(tiny, "vec_id long, embedding array<double>")))
+    got = vector_search.search(dealt, index, dealt.where("vec_id in (0, 101)").select("vec_id", "embedding"), k=3)
+    assert [(r["query_id"], r["vec_id"]) for r in got.orderBy("query_id", "rank").collect()] == [(0, 100), (0, 29), (0, 28), (101, 100), (101, 29), (101, 28)]
+
+
 # --- conversations ---
 
 
