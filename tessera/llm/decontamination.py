@@ -1,24 +1,28 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Texts become templates: punctuation goes, a capitalised word after a word that ends in a
-small letter, a digit, a comma or a semicolon is a name, a word of digits a number, and a
-unit after a number a unit; names, numbers and units become typed placeholders, the rest
-lower case. A window is ``WIDTH`` consecutive template words (a shorter item is one window,
-from ``LEAST`` words on) with at least ``LITERALS`` words that aren't placeholders. Windows
-of documents and benchmark items are hash-joined. What is a name depends on punctuation and
-case, so the same words as they stand, lower-cased, make plain windows, which join too; they
-need no literals.
+small letter, a digit, a comma or a semicolon is a name (a run of such words is one name), a
+word of digits a number, and a unit after a number a unit; names, numbers and units become
+typed placeholders, the rest lower case. A window is ``WIDTH`` consecutive template words with
+at least ``LITERALS`` words that aren't placeholders. What is a name depends on punctuation and
+case, so the same words as they stand, lower-cased, make plain windows beside the template
+windows; they need no literals, and names in them are words like any other. A shorter item
+is one window of either kind (a template of ``LEAST_TEMPLATE`` words at least); one of under
+``LEAST`` words is only looked for in texts that hold nothing else. Windows of documents and
+benchmark items are hash-joined.
 
 Windows of a document and an item on one diagonal (the same offset) are one occurrence. Its
 slots are consistent if each value in the item always stands for one value in the document;
-of an inconsistent occurrence only the plain windows count, so re-parameterised questions
-are caught and accidental ones aren't. A document is contaminated by an item if at least
-``SHARE`` of the item's template windows are met, by either kind (of an item without any: of
-its plain windows), or if one occurrence covers ``RUN`` consecutive words of the item.
+of an inconsistent occurrence only the windows without slots count, so re-parameterised
+questions are caught and accidental ones aren't. A document is contaminated by an item if
+``SHARE`` of the item's template windows or of its plain windows are met, or if one occurrence
+covers ``RUN`` consecutive words of the item.
 
 The benchmark is broadcast after a check of its size: up to ``BROADCAST_ROWS`` windows;
-beyond, the join shuffles. Null texts have no windows. Rows that share a doc_id are judged
-together, and so are repeated items. Extra columns are ignored.
+beyond, the join shuffles. Null texts, and texts without words, have no windows; very long
+texts are read whole. In ``contaminated`` rows that share a doc_id are judged together (null
+ids too), and so are repeated items; ``clean`` judges every row by its own text. Empty tables
+of either kind give no leak. Extra columns are ignored, and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -29,66 +33,78 @@ from pyspark.sql import functions as F
 from .common import fresh, table
 
 WIDTH = 8
-LEAST = 5
+LEAST, LEAST_TEMPLATE = 3, 5
 LITERALS = 4
 SHARE = 0.5
 RUN = 13
 BROADCAST_ROWS = 200_000
 
-NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"  # private-use characters
+NAME, NUMBER, UNIT, JOIN = "\ue000", "\ue001", "\ue002", "\ue003"  # private-use characters
 #: Units of measure, money and time.
 UNITS = "mm cm m km in ft mi mile miles metre metres meter meters inch inches foot feet yard yards mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons l ml litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent degree degrees mph kmh kph hz khz mhz kb mb gb tb w kw v a j kj cal kcal"
 
 
+def _joined(text: Column) -> Column:
+    """With the white space inside a run of names replaced, so that a run stays one word."""
+    return F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;]\s\p{Lu}[\p{L}\p{M}]{0,30})(?<=[\p{Ll}\p{N}])\s(?=\p{Lu})", JOIN)
+
+
 def _plain(text: Column) -> Column:
     """Without punctuation; the words stay where they were."""
-    return F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}\s]+", "")
+    return F.regexp_replace(text, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NAME}{JOIN}]+", "")
 
 
-def _split(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\s\x1c-\x1f\x85\xa0]+"), lambda w: w != "")
+def _split(text: Column, more: str = "") -> Column:
+    return F.filter(F.split(text, rf"[\s\x1c-\x1f\x85\xa0{more}]+"), lambda w: w != "")
 
 
-def template(text: Column) -> Column:
-    """The template words of a text."""
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;]\s)\p{Lu}[\p{L}\p{M}]*", NAME)
+def template(joined: Column) -> Column:
+    """The template words of a text whose runs of names are joined."""
+    named = F.regexp_replace(joined, rf"(?<=[\p{{Ll}}\p{{N}},;]\s)\p{{Lu}}[\p{{L}}\p{{M}}]*(?:{JOIN}\p{{Lu}}[\p{{L}}\p{{M}}]*)*", NAME)
     counted = F.regexp_replace(_plain(named), r"(?<!\S)\p{N}+(?!\S)", NUMBER)
     units = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
     return _split(F.regexp_replace(F.lower(counted), rf"(?<={NUMBER}\s)(?:{units})(?!\S)", UNIT))
 
 
-def values(text: Column) -> Column:
-    """The same words as they stand in the text, lower-cased: template(text)[i] was values(text)[i]."""
-    return _split(F.lower(_plain(text)))
-
-
 def _is_slot(word: Column) -> Column:
     return word.isin(NAME, NUMBER, UNIT)
 
 
+def worded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, t, v and plains of rows(keys, text): template words, the same as they stand, and plain words.
+
+    t[i] was v[i], a run of names being one. v and plains are null for texts without
+    placeholders, where t is all there is.
+    """
+    t = rows.select(*keys, _joined(F.col("text")).alias("joined"))
+    t = t.select(*keys, template(F.col("joined")).alias("t"), F.lower(_plain(F.col("joined"))).alias("low"))
+    slotted = F.exists("t", _is_slot)
+    # No filter on the words' number: it would be pushed below and make the template twice.
+    return t.select(*keys, "t", F.when(slotted, _split(F.col("low"))).alias("v"), F.when(slotted, _split(F.col("low"), JOIN)).alias("plains"))
+
+
 def windows(rows: DataFrame, keys: list[str], width: int, whole: bool = False) -> DataFrame:
     """keys, h, at (from 0), plain and slots of each window of rows(keys, text).
 
     Template windows of every text, and plain ones of texts with placeholders; elsewhere
-    they are the same. slots: for each word of the text, the value of its placeholder, or
-    null; null if the text has none. It stays the text's own array, to be cut
-    (``slot_values``) once a window is known to matter. whole: only of texts with just so
-    many words.
+    they are the same. slots: for each template word, the value of its placeholder, or null;
+    null if the text has none. It stays the text's own array, to be cut (``slot_values``)
+    once a window is known to matter. whole: only of texts with just so many words.
     """
-    t = rows.select(*keys, "text", template(F.col("text")).alias("t"))
-    # Values are looked up only for texts with placeholders. No filter on the words' number:
-    # it would be pushed below and make the template twice.
-    t = t.select(*keys, "t", F.when(F.exists("t", _is_slot), values(F.col("text"))).alias("v"))
     slots = F.zip_with("t", "v", lambda w, v: F.when(_is_slot(w), v))
     hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    hashed = t.select(*keys, slots.alias("slots"), F.size("t").alias("n"), hashes("t").alias("words"), hashes("v").alias("plains"))
-    fits = F.col("n") == width if whole else F.col("n") >= width
-    starts = F.when(fits, F.sequence(F.lit(0), F.col("n") - width)).otherwise(F.array().cast("array<int>"))
-    each = lambda words: F.transform(starts, lambda i: F.xxhash64(*(F.get(F.col(words), i + k) for k in range(width))))
-    both = F.when(F.col("plains").isNull(), each("words")).otherwise(F.concat(each("words"), each("plains")))
-    count = F.col("n") - (width - 1)
-    found = hashed.select(*keys, "slots", count.alias("count"), F.posexplode(both).alias("pos", "h"))
-    return found.select(*keys, "slots", (F.col("pos") % F.col("count")).alias("at"), (F.col("pos") >= F.col("count")).alias("plain"), "h")
+    t = worded(rows, keys).select(*keys, slots.alias("slots"), hashes("t").alias("words"), F.coalesce(hashes("plains"), F.array().cast("array<bigint>")).alias("plains"))
+
+    def each(words: str) -> Column:
+        n = F.size(words)
+        starts = F.when(n == width if whole else n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*(F.get(F.col(words), i + k) for k in range(width))))
+
+    n = F.size("words")
+    count = F.when(n == width if whole else n >= width, n - (width - 1)).otherwise(0)
+    found = t.select(*keys, "slots", count.alias("count"), F.posexplode(F.concat(each("words"), each("plains"))).alias("pos", "h"))
+    plain = F.col("pos") >= F.col("count")
+    return found.select(*keys, "slots", (F.col("pos") - F.when(plain, F.col("count")).otherwise(0)).alias("at"), plain.alias("plain"), "h")
 
 
 def slot_values(slots: Column, at: Column, width: int) -> Column:
@@ -96,53 +112,58 @@ def slot_values(slots: Column, at: Column, width: int) -> Column:
     return F.coalesce(F.array_join(F.slice(slots, at + 1, width), " "), F.lit(""))
 
 
-def benchmark_windows(items: DataFrame, width: int = WIDTH, least: int = LEAST, literals: int = LITERALS) -> list[tuple[int, DataFrame]]:
-    """For each window width in use: h, item_id, item_at, item_slots, literal (h is of words as they stand), counted and the item's number of counted windows."""
+def benchmark_windows(items: DataFrame, width: int = WIDTH, literals: int = LITERALS) -> list[tuple[int, DataFrame]]:
+    """For each window width in use: h, item_id, item_at, item_slots, item_plain and item_windows, the item's number of windows of that kind."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
-    words = F.size(template(F.col("text")))
-    short = sorted(r[0] for r in items.select(words.alias("n")).where((F.col("n") >= least) & (F.col("n") < width)).distinct().collect())  # a few small numbers
+    sizes = worded(items, []).select(F.explode(F.array(F.size("t"), F.size(F.coalesce("plains", "t")))).alias("n"))
+    short = sorted(r[0] for r in sizes.where((F.col("n") > 0) & (F.col("n") < width)).distinct().collect())  # a few small numbers
     out = []
     for size in [*short, width]:
         found = windows(items, ["item_id"], size, whole=size < width).withColumn("slots", F.when(F.col("plain"), "").otherwise(slot_values(F.col("slots"), F.col("at"), size)))
-        literal = size - F.size(F.filter(F.split("slots", " "), lambda s: s != ""))
-        found = found.where(literal >= min(literals, size)).select("h", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "plain")
-        total = found.groupBy("item_id").agg(F.countDistinct(F.when(~F.col("plain"), F.col("item_at"))).alias("templates"), F.countDistinct("item_at").alias("places"))
-        own = found.where(~F.col("plain")).select("item_id", "item_at", F.lit(True).alias("own")).distinct()
-        found = found.join(total, "item_id").join(own, ["item_id", "item_at"], "left")
-        none = F.col("templates") == 0
-        found = found.select("h", "item_id", "item_at", "item_slots", (F.col("item_slots") == "").alias("literal"), (none | F.coalesce("own", F.lit(False))).alias("counted"), F.when(none, F.col("places")).otherwise(F.col("templates")).alias("item_windows"))
-        out.append((size, found.distinct()))
+        slots = F.size(F.filter(F.split("slots", " "), lambda s: s != ""))
+        fits = slots <= (size - min(literals, size) if size >= LEAST_TEMPLATE else 0)
+        found = found.where(fits).select("h", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("plain").alias("item_plain"))
+        total = found.groupBy("item_id", "item_plain").agg(F.countDistinct("item_at").alias("item_windows"))
+        out.append((size, found.join(total, ["item_id", "item_plain"]).distinct()))
     return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS, run: int = RUN) -> DataFrame:
-    """doc_id, item_id, n_windows (met), item_windows, share and exact for each document and item that it leaks."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+def leaks(docs: DataFrame, keys: list[str], items: DataFrame, width: int = WIDTH, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS, run: int = RUN) -> DataFrame:
+    """keys, item_id, n_windows (met), item_windows, share and exact of docs(keys, text) for each item that the rows of some keys leak."""
+    docs = docs.where("text is not null")
     met = None
     for size, found in benchmark_windows(items, width):
         if found.count() <= broadcast_rows:
             found = F.broadcast(found)
-        hits = windows(docs, ["doc_id"], size).join(found, "h").withColumn("slots", slot_values(F.col("slots"), F.col("at"), size)).withColumn("width", F.lit(size))
+        hits = windows(docs, keys, size, whole=size < LEAST).join(found, "h").withColumn("slots", slot_values(F.col("slots"), F.col("at"), size)).withColumn("width", F.lit(size))
         met = hits if met is None else met.unionByName(hits)
     pairs = F.transform(
         F.filter(F.arrays_zip(F.split("item_slots", " ").alias("a"), F.split("slots", " ").alias("b")), lambda p: p["a"] != ""),
         lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")),
     )
-    place = F.struct("item_at", "counted", "width")
-    places = met.select("doc_id", "item_id", "item_windows", "literal", place.alias("place"), (F.col("at") - F.col("item_at")).alias("offset"), F.when(~F.col("literal"), pairs).alias("pairs"))
-    occurrences = places.groupBy("doc_id", "item_id", "item_windows", "offset").agg(
-        F.collect_set("place").alias("every"), F.collect_set(F.when(F.col("literal"), F.col("place"))).alias("plain"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    literal, place = F.col("item_slots") == "", F.struct("item_at", "width")
+    kind = [*keys, "item_id", "item_plain", "item_windows"]
+    places = met.select(*kind, "plain", literal.alias("literal"), place.alias("place"), (F.col("at") - F.col("item_at")).alias("offset"), F.when(~literal, pairs).alias("pairs"))
+    occurrences = places.groupBy(*kind, "plain", "offset").agg(
+        F.collect_set("place").alias("every"), F.collect_set(F.when(F.col("literal"), F.col("place"))).alias("literals"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
     consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.a")))
     exact = ~consistent | F.forall("pairs", lambda p: p["a"] == p["b"])
-    judged = occurrences.select("doc_id", "item_id", "item_windows", F.when(consistent, F.col("every")).otherwise(F.col("plain")).alias("met"), exact.alias("exact")).where(F.size("met") > 0)
-    counted = F.transform(F.filter("met", lambda p: p["counted"]), lambda p: p["item_at"])
-    judged = judged.select("doc_id", "item_id", "item_windows", counted.alias("ats"), _longest(F.col("met")).alias("run"), "exact")
-    judged = judged.groupBy("doc_id", "item_id", "item_windows").agg(
+    judged = occurrences.select(*kind, F.when(consistent, F.col("every")).otherwise(F.col("literals")).alias("met"), exact.alias("exact")).where(F.size("met") > 0)
+    judged = judged.select(*kind, F.transform("met", lambda p: p["item_at"]).alias("ats"), _longest(F.col("met")).alias("run"), "exact")
+    judged = judged.groupBy(*kind).agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_windows"), F.max("run").alias("run"), F.bool_and("exact").alias("exact")
     )
     part = F.col("n_windows") / F.col("item_windows")
-    return judged.where((part >= share) | (F.col("run") >= run)).select("doc_id", "item_id", "n_windows", "item_windows", part.alias("share"), "exact")
+    judged = judged.where((part >= share) | (F.col("run") >= run))
+    best = F.max(F.struct(part.alias("share"), ~F.col("item_plain"), "n_windows", "item_windows"))
+    judged = judged.groupBy(*keys, "item_id").agg(best.alias("best"), F.bool_or("exact").alias("exact"))
+    return judged.select(*keys, "item_id", "best.n_windows", "best.item_windows", "best.share", "exact")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """doc_id, item_id, n_windows (met), item_windows, share and exact for each document and item that it leaks."""
+    return leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], items, **how)
 
 
 def _longest(met: Column) -> Column:
@@ -157,10 +178,12 @@ def _longest(met: Column) -> Column:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that leak no item, all columns as they were."""
-    leak = fresh("leak", docs.columns)
-    leaks = contaminated(docs, items).select(F.col("doc_id").alias(leak)).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col(leak)), "left_anti")
+    """The rows of docs that leak no item, all columns as they were; each row is judged by its own text."""
+    names = [fresh(n, docs.columns) for n in ("leak", "leak_hash")]
+    rows = docs.select(F.col("doc_id").cast("long").alias(names[0]), F.xxhash64("text").alias(names[1]), "text")
+    found = leaks(rows, names, items).select(*names).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64("text") == F.col(names[1]))
+    return docs.join(found, same, "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,8 @@ def test_decontamination(spark, awkward, empty):
     assert shuffled == set(found)
     left = decontamination.clean(docs, items)
     assert {r["doc_id"] for r in left.collect()} == {2, 3, 4}
+    nulls = spark.createDataFrame([(None, ITEM), (None, "clean words only"), (None, None), (7, ITEM), (7, "clean words only")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in decontamination.clean(nulls, items).collect()) == [(0, ""), (0, "clean words only"), (7, "clean words only")]
     same = decontamination.clean(awkward, items)
     assert same.columns == awkward.columns and same.count() == len(AWKWARD)
     assert decontamination.contaminated(empty, items).count() == 0
@@ -202,6 +204,41 @@ def test_decontamination_ignores_punctuation_and_case(spark):
     assert found == {(d, i): 1.0 for d in range(3) for i in (0, 2)} | {(3, 1): 1.0, (4, 1): 1.0}
 
 
+def test_decontamination_of_short_items_and_items_of_slots(spark):
+    items = spark.createDataFrame([(0, "Tell me your age"), (1, "we met Carl in 1990 at 9 km with Dora and Emil"), (2, "Yes indeed"), (3, "so Anna, Bert, Carl, Dora, Emil, Fritz, Gerd, Hans, Ida")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "He said: tell me your AGE now"), (1, "then we met Carl in 1990 at 9 km with Dora and Emil, alas"), (2, "yes, indeed"), (3, "yes indeed it is"), (4, "so anna bert carl dora emil fritz gerd hans ida"), (5, "so Max, Otto, Paul, Rosa, Sven, Tina, Udo, Vera, Willi")], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, items).collect()}
+    assert found == {(0, 0), (1, 1), (2, 2), (4, 3)}
+
+
+QUESTIONS = [
+    "the farmer {a} sold {x} apples to {b} for {y} euros and then {a} walked back to the quiet village near the lake before sunset",
+    "last spring {a} drove {x} km from the harbour to visit {b} who had waited {y} hours beside the old wooden bridge in the rain",
+    "after the long concert {a} counted {x} coins while {b} carried {y} kg of heavy books up the narrow stairs to the reading room",
+]
+
+
+def test_reparameterised_questions_equal_brute_force(spark):
+    """Against string templates: an item's words with its values replaced consistently, or not."""
+    rng = np.random.default_rng(9)
+    names = ["Anna", "Bert", "Carla Maria", "Dora", "Emil", "Fritz Otto Hans", "Gerda Lind"]
+    fill = lambda q, a, b: q.format(a=a, b=b, x=int(rng.integers(2, 900)), y=int(rng.integers(2, 900)))
+    items = [(i, fill(q, "Max", "Paul Klee")) for i, q in enumerate(QUESTIONS)]
+    docs, want = [], set()
+    for d in range(60):
+        q, (a, b) = d % 3, rng.choice(names, 2, replace=False)
+        text, kind = fill(QUESTIONS[q], a, b), d % 4
+        if kind == 1:
+            text = fill(QUESTIONS[q], a, a)  # one name for both
+        elif kind == 2:
+            text = text.replace("the", "one", 1).replace("and", "or").replace("near", "at").replace("beside", "by").replace("of", "with").replace("to ", "at ").replace("in the", "on a")
+        docs.append((d, f"So it goes. In short, {text}. The end, as they say."))
+        if kind in (0, 3) or kind == 1 and q:  # where no value stands twice, one name for both is a renaming too
+            want.add((d, q))
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want - found == set() and not {(d, q) for d, q in found if d % 4 == 2}
+
+
 # --- licenses ---
 
 
