@@ -16,12 +16,16 @@ inside a window are the window's consistent interior symbols: any equal window h
    a hash are repeats.
 3. Documents drop the words that repeated windows cover.
 
-Hot passages are folded before every shuffle: a batch emits a mark or a window once, with
-its other documents packed beside it or its repeats decided on the spot.
+Exact copies are settled first: each distinct text (by 128 bits of hash) is looked at once,
+under its smallest doc_id and a number of its own, so rows that share a doc_id, or have none,
+share no key. Hot passages are folded before every shuffle: a batch emits a mark or a window
+once, with its other texts packed beside it or its repeats decided on the spot.
 
 A null doc_id comes before all others. Rows that share a doc_id are documents of their
 own; rows equal in doc_id and place are equally early, so neither is a repeat of the
-other. Null texts have no words. Extra columns are ignored.
+other. Null and empty texts have no words. Very long texts are cut into words whole; a batch
+holds one such text at least. An empty table gives an empty result. Extra columns are ignored
+by ``report`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -44,7 +48,6 @@ BATCH_WORDS = 1 << 20
 NULL_ID = -(1 << 63)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_TAG = 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
@@ -182,8 +185,8 @@ def _batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.
             yield batch.slice(at), words
 
 
-def shared_marks(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id and marks: for each of docs(doc_id, text) its marks that stand more than once in the corpus."""
+def shared_marks(texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """t and marks: for each of texts(t, text) its marks that stand more than once in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
@@ -200,9 +203,9 @@ def shared_marks(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             more: list[bytes | None] = [None] * len(first)
             for i in np.flatnonzero((count > 1) | np.maximum.reduceat(spot, first) if len(first) else first).tolist():
                 more[i] = np.unique(ids[doc[first[i] + 1 : first[i] + count[i]]]).astype("<i8").tobytes()
-            yield pa.record_batch([pa.array(marks[first].view(np.int64)), pa.array(ids[doc[first]], pa.int64()), pa.array(more, pa.binary())], ["mark", "doc_id", "more"])
+            yield pa.record_batch([pa.array(marks[first].view(np.int64)), pa.array(ids[doc[first]], pa.int64()), pa.array(more, pa.binary())], ["mark", "t", "more"])
 
-    emitted = docs.mapInArrow(run, "mark long, doc_id long, more binary")
+    emitted = texts.mapInArrow(run, "mark long, t long, more binary")
     met = emitted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mark"))).where("n > 1 or more is not null")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,23 +215,22 @@ def shared_marks(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             size = np.array([len(o) for o in other], np.int64)
             for at in range(0, len(marks), 1024):
                 part = slice(at, at + 1024)
-                yield pa.record_batch([pa.array(np.concatenate([ids[part], *other[part]])), pa.array(np.concatenate([marks[part], np.repeat(marks[part], size[part])]))], ["doc_id", "mark"])
+                yield pa.record_batch([pa.array(np.concatenate([ids[part], *other[part]])), pa.array(np.concatenate([marks[part], np.repeat(marks[part], size[part])]))], ["t", "mark"])
 
-    found = met.select("mark", "doc_id", "more").mapInArrow(unpack, "doc_id long, mark long")
-    return found.groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
+    found = met.select("mark", "t", "more").mapInArrow(unpack, "t long, mark long")
+    return found.groupBy("t").agg(F.collect_set("mark").alias("marks"))  # bounded by each text's own length
 
 
-def repeats(docs: DataFrame, marks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, tag and spans (starts and counts of repeated windows) of each document that has any."""
+def repeats(texts: DataFrame, marks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """t and spans (starts and counts of repeated windows) of each of texts(t, first, text) that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
-        for batch, words in _batches(batches, 1):
-            ids = batch.column(0).to_numpy()
-            tags = np.array([_tag(v) for v in batch.column(1)], np.int64)
+        for batch, words in _batches(batches, 2):
+            number, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             b = Batch(words, names)
             (mark, _), at, doc = b.marks(rounds), b.windows, b.doc
-            wanted, lists = np.zeros(len(mark), bool), batch.column(2)
+            wanted, lists = np.zeros(len(mark), bool), batch.column(3)
             edges = np.searchsorted(doc, np.arange(len(ids) + 1))
             for d in range(len(ids)):
                 own = slice(edges[d], edges[d + 1])
@@ -236,61 +238,57 @@ def repeats(docs: DataFrame, marks: DataFrame, rounds: int = ROUNDS) -> DataFram
             at, doc = at[wanted], doc[wanted]
             w1, w2 = (b.hashes(base, at, at + WINDOW).view(np.int64) for base in (0xD1342543DE82EF95, 0xA0761D6478BD642F))
             w2 = w2.astype(np.int32)
-            place = ((at - b.start[doc]) << _TAG) | tags[doc]
-            key = ids[doc]
+            place, key, t = (at - b.start[doc]).astype(np.int32), ids[doc], number[doc]
             order = np.lexsort((place, key, w2, w1))
-            w1, w2, place, key = w1[order], w2[order], place[order], key[order]
+            w1, w2, place, key, t = w1[order], w2[order], place[order], key[order], t[order]
             same = np.concatenate([[False], (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])]) if len(w1) else np.zeros(0, bool)
             leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(w1)))) if len(w1) else order
-            later = same & ((key != key[leader]) | (place >> _TAG != place[leader] >> _TAG))  # repeats of this very batch
+            later = same & ((key != key[leader]) | (place != place[leader]))  # repeats of this very batch
             judged = ~later
-            order = np.lexsort((place >> _TAG, place & ((1 << _TAG) - 1), key))
-            key2, place2 = key[order], place[order]
+            order = np.lexsort((place, t))
             open_ = later[order]
-            key2, place2 = key2[open_], place2[open_]
-            step = np.concatenate([[True], (key2[1:] != key2[:-1]) | (place2[1:] != place2[:-1] + (1 << _TAG))]) if len(key2) else np.zeros(0, bool)
+            t2, key2, place2 = t[order][open_], key[order][open_], place[order][open_]
+            step = np.concatenate([[True], (t2[1:] != t2[:-1]) | (place2[1:] != place2[:-1] + 1)]) if len(t2) else np.zeros(0, bool)
             head = np.flatnonzero(step)
-            span = np.diff(np.append(head, len(key2))).astype(np.int32)
-            spread = mix((key2[head] * 31 + place2[head]).view(np.uint64)).view(np.int64)
+            span = np.diff(np.append(head, len(t2))).astype(np.int32)
+            spread = mix((t2[head] * 31 + place2[head]).view(np.uint64)).view(np.int64)
             yield pa.record_batch([
                 pa.array(np.concatenate([w1[judged], spread])), pa.array(np.concatenate([w2[judged], np.zeros(len(head), np.int32)])),
-                pa.array(np.concatenate([key[judged], key2[head]])), pa.array(np.concatenate([place[judged], place2[head]])),
+                pa.array(np.concatenate([t[judged], t2[head]])), pa.array(np.concatenate([key[judged], key2[head]])), pa.array(np.concatenate([place[judged], place2[head]])),
                 pa.array(np.concatenate([np.zeros(judged.sum(), np.int32), span])),
-            ], ["w1", "w2", "doc_id", "place", "span"])
+            ], ["w1", "w2", "t", "doc_id", "at", "span"])
 
-    open_ = docs.join(marks, "doc_id").select("doc_id", "text", "marks")
-    found = open_.mapInArrow(run, "w1 long, w2 int, doc_id long, place long, span int")
-    here = F.struct("doc_id", F.shiftright("place", _TAG).alias("at"))
+    open_ = texts.join(marks, "t").select("t", "first", "text", "marks")
+    found = open_.mapInArrow(run, "w1 long, w2 int, t long, doc_id long, at int, span int")
+    here = F.struct("doc_id", "at")
     first = F.min(here).over(Window.partitionBy("w1", "w2", F.col("span") > 0))
     late = found.withColumn("first", first).where((F.col("span") > 0) | (here > F.col("first")))
-    tag = F.col("place").bitwiseAND(F.lit((1 << _TAG) - 1)).cast("int")
-    return late.groupBy("doc_id", tag.alias("tag")).agg(F.collect_list(F.struct(F.shiftright("place", _TAG).alias("at"), F.greatest("span", F.lit(1)).alias("n"))).alias("spans"))
+    return late.groupBy("t").agg(F.collect_list(F.struct("at", F.greatest("span", F.lit(1)).alias("n"))).alias("spans"))  # bounded by each text's own length
 
 
-def _tag(value: pa.Scalar) -> int:
-    """Tells apart different texts of one doc_id."""
-    return xxhash.xxh64_intdigest((value.as_py() or "").encode("utf-8", "replace"), 42) & ((1 << _TAG) - 1)
+def _key(name: str = "doc_id"):
+    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 
-def _key():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
+def _text_key(names: tuple[str, str]) -> list:
+    """128 bits of hash of the text; null texts, which match nothing, are spread by their doc_id."""
+    null = F.col("text").isNull()
+    return [F.when(null, F.xxhash64("doc_id")).otherwise(F.xxhash64("text")).alias(names[0]), F.when(null, F.lit(0)).otherwise(F.xxhash64(F.lit(1), "text")).alias(names[1])]
 
 
 def repeated_windows(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id (null: NULL_ID), tag and spans, staged in the shared folder.
+    """ta, tb (the text's key), first and spans of each distinct text that has copies or repeats, staged in the shared folder.
 
     All windows of an exact copy also start in its first copy, so copies are settled at
-    once; marks and windows are looked for in first copies only.
+    once; marks and windows are looked for once in each distinct text.
     """
-    docs = docs.select(_key(), "text").where("text is not null").withColumn("digest", F.sha2("text", 256))
-    firsts = staged(docs.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
-    own = docs.join(firsts, (docs["digest"] == firsts["digest"]) & (docs["doc_id"] == firsts["first"])).select("doc_id", "text")
-    marks = staged(shared_marks(own, rounds), "marks")
-    found = repeats(docs.select("doc_id", "text"), marks, rounds)  # only first copies have marks
-    tag = F.xxhash64("text").bitwiseAND(F.lit((1 << _TAG) - 1)).cast("int").alias("tag")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit((1 << 31) - 1).alias("n"))).alias("spans")
-    copies = docs.select("doc_id", "digest", tag).join(firsts, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "tag", whole).distinct()
-    return staged(found.unionByName(copies), "repeats")
+    rows = docs.select("text", _key().alias("key"), *_text_key(("ta", "tb"))).where("text is not null")
+    texts = rows.groupBy("ta", "tb").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    texts = staged(texts.withColumn("t", F.monotonically_increasing_id()), "texts")  # numbered once it is written
+    marks = staged(shared_marks(texts.select("t", "text"), rounds), "marks")
+    found = staged(repeats(texts.select("t", "first", "text"), marks, rounds), "spans")
+    own = texts.select("ta", "tb", "t", "first", "copies").join(found, "t", "left")
+    return staged(own.where("copies > 1 or spans is not null").select("ta", "tb", "first", "spans"), "repeats")
 
 
 def covered(n: int, at: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -302,23 +300,21 @@ def covered(n: int, at: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """docs with one more column, last, of spans (null: nothing repeated), every row and column kept."""
+    """docs with two more columns, last: whether the row is a later copy (null: neither), and spans; every row and column kept."""
     found = repeated_windows(docs.select("doc_id", "text"), rounds)
-    key, spans = fresh("key", docs.columns), fresh("spans", docs.columns)
-    late = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("tag", "spans")).alias(spans))
-    docs = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return docs.join(late, key, "left").drop(key)
+    ta, tb, first, spans, later = (fresh(n, docs.columns) for n in ("ta", "tb", "first", "spans", "later"))
+    found = found.select(F.col("ta").alias(ta), F.col("tb").alias(tb), F.col("first").alias(first), F.col("spans").alias(spans))
+    joined = docs.select("*", *_text_key((ta, tb))).join(found, [ta, tb], "left")
+    return joined.select(*docs.columns, (_key() > F.col(first)).alias(later), spans)
 
 
-def _cover(text: pa.Scalar, entries: pa.Scalar, n: int) -> np.ndarray | None:
-    """Which words of a text go; None if none."""
-    if not entries.is_valid or n < WINDOW:
+def _cover(later: pa.Scalar, spans: pa.Scalar, n: int) -> np.ndarray | None:
+    """Which of a text's n words go; None if none."""
+    if n < WINDOW or not (spans.is_valid or later.as_py()):
         return None
-    rows, tag = entries.values, _tag(text)
-    for own, spans in zip(rows.field("tag").to_pylist(), rows.field("spans"), strict=True):
-        if own == tag:
-            return covered(n, spans.values.field("at").to_numpy(), spans.values.field("n").to_numpy().astype(np.int64))
-    return None
+    if later.as_py():
+        return np.ones(n, bool)
+    return covered(n, spans.values.field("at").to_numpy().astype(np.int64), spans.values.field("n").to_numpy().astype(np.int64))
 
 
 def report(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -327,9 +323,9 @@ def report(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, gone, digest = [], [], []
-            for text, entries in zip(batch.column(1), batch.column(2), strict=True):
+            for text, later, spans in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 words = _words(text)
-                cover = _cover(text, entries, len(words))
+                cover = _cover(later, spans, len(words))
                 kept = words if cover is None else [w for w, c in zip(words, cover.tolist(), strict=True) if not c]
                 size.append(len(words))
                 gone.append(len(words) - len(kept))
@@ -337,7 +333,7 @@ def report(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rounds)
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -351,8 +347,8 @@ def deduplicate(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, entries in zip(batch.column(at), batch.column(len(names)), strict=True):
-                cover = _cover(text, entries, len(_words(text)))
+            for text, later, spans in zip(batch.column(at), batch.column(len(names)), batch.column(len(names) + 1), strict=True):
+                cover = _cover(later, spans, len(_words(text)))
                 texts.append(text.as_py() if cover is None else without(text.as_py(), cover))
             yield pa.record_batch([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names)
 

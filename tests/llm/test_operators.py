@@ -354,6 +354,15 @@ def test_substring_dedup(spark, empty):
     assert substring_dedup.report(empty).count() == 0
 
 
+def test_substring_dedup_of_many_rows_without_an_id(spark):
+    """Different texts under one (null) id: no key is shared, and no text is mistaken for another."""
+    base = repeated_corpus(8, 40)
+    docs = [(None, t) for _, t in base] + [(None, f"{i} {base[i % 40][1]} {i}") for i in range(4000)] + [(7, t) for _, t in base] + [(7, t) for _, t in base]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = sorted((substring_dedup.NULL_ID if r[0] is None else r[0], *r[1:]) for r in substring_dedup.report(df).collect())
+    assert got == brute_repeats(docs)
+
+
 def test_substring_dedup_texts(spark, awkward):
     passage = " ".join(f"p{i}" for i in range(25))
     rows = [(1, f"One\nline.  {passage}\nFin one.", 5), (2, f"Two\n{passage}\n\nEnd  two.", 5), (3, "Three", None)]
