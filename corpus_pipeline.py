@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and all that its predecessor kept, and returns the
 columns of documents; the last returns each document's tokens. ``run`` writes every
 stage's result as Parquet in the shared folder and reads it again.
+
+In every stage a row is judged by its own text: rows that share a doc_id, or have none, are
+rows of their own, null texts count as empty, very long texts are read whole, and extra
+columns go through unchanged, whatever their names. Of an empty table an empty one is left.
+Where labels or benchmark are empty, nothing is rejected for them.
 """
 
 from __future__ import annotations
@@ -15,7 +20,10 @@ from tessera.llm.common import fold, fresh, staged, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. It learns from the labelled documents that came in."""
+    """Documents that the quality classifier accepts. It learns from the labelled documents that came in.
+
+    Rows with the same text get the same score, so ties and repeated rows go or stay together.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(fold() != 0)
     name = fresh("score", docs.columns)
     scored = quality.score(docs, quality.fit(docs, labels), name)
@@ -23,9 +31,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies (0.8 by five-word shingles): the smallest doc_id. Null ids stay.
+    """One document of each group of exact and near copies (0.8 by five-word shingles): the smallest doc_id.
 
-    Where rows share a doc_id, each goes by its own text.
+    Rows without a doc_id all stay, as there is nothing to choose one by. Where rows share a
+    doc_id, each goes by its own text; of rows equal in both, one stays. Empty and null texts
+    are one group.
     """
     mark = fresh("text_hash", docs.columns)
     groups = simhash.similar_groups(docs)
@@ -35,17 +45,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand earlier in the corpus."""
+    """Documents without the passages that stand earlier in the corpus. All rows stay, some with an empty text; null texts stay null."""
     return substring_dedup.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item. Rows of one doc_id are judged apart."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests of ids and decoded text, and the ids themselves."""
+    """doc_id, n_tokens, digests of ids and decoded text, and the ids themselves, of every row; null texts have no tokens."""
     return bpe.round_trip(docs, bpe.vocabulary_text(), keep_ids=True)
 
 
