@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import collections
+import itertools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import fixtures, metrics
 from .functions import hashing as H
 from .operators import health, merge, ring, terminals, topology
 from .plans import migration as M
-from .plans.table import Client, ShardedTable, query
+from .plans.table import Client, ShardedTable, isolated, query
 from .sources import checkpoint, shard_map
-from .sources.registry import next_page_size
+from .sources.registry import Registry, files, frame, next_page_size
+from .staging import shared_dir, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -117,6 +122,50 @@ def target_by_key(spark, sf_dir):
     return _customers(spark, sf_dir).where_key(F.col("c_custkey"), lambda k: F.pmod(k, F.lit(4)), 42).select("c_custkey", "c_name", "shard_id").rows()
 
 
+@registered("SELECT c_custkey, c_name, 'eu-' || CAST(c_custkey % 4 AS VARCHAR) AS shard_id FROM customer WHERE c_custkey % 4 IN (1, 2)")
+def target_named_shards(spark, sf_dir):
+    table = ShardedTable.by_column(_t(spark, sf_dir, "customer"), _mod("c_custkey", 4), 4, "customer", names=[f"eu-{i}" for i in range(4)])
+    return table.where_shard("eu-2", "eu-1", "1").select("c_custkey", "c_name", "shard_id").rows()
+
+
+@registered("SELECT c_custkey, c_name, CAST(c_custkey % 4 AS VARCHAR) AS shard_id FROM customer WHERE c_custkey % 4 IN (1, 3)")
+def target_pruned_layout(spark, sf_dir):
+    """Shards in folders of their own: a target reads its folders only."""
+    table = _customers(spark, sf_dir).lay_out(f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/customer")
+    return table.where_shard("1", "3").select("c_custkey", "c_name", "shard_id").rows()
+
+
+@registered("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 4 <> 2 AND c_acctbal > 0")
+def fanout_isolated(spark, sf_dir):
+    """Shards side by side, one of which fails."""
+    def write(shard_id: str, rows: DataFrame) -> DataFrame:
+        return staged(rows.where(F.raise_error(F.lit("down"))) if shard_id == "2" else rows, f"shard{shard_id}")
+
+    return isolated(_customers(spark, sf_dir).where(F.col("c_acctbal") > 0).select("c_custkey", "c_name"), write, at_once=4)[0]
+
+
+@registered("SELECT CAST(c_custkey % 4 AS VARCHAR) AS shard_id, count(*) AS items FROM customer WHERE c_acctbal > 5000 GROUP BY 1")
+def query_metrics(spark, sf_dir):
+    """What a query's metrics record counted, by shard."""
+    _, seen = metrics.collect(_customers(spark, sf_dir).where(F.col("c_acctbal") > 5000).select("c_custkey", "shard_id"))
+    return spark.createDataFrame(list(seen.items.items()), "shard_id string, items long")
+
+
+@registered("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def source_documents(spark, sf_dir):
+    """Shards of JSON documents, one file tree each."""
+    path, rows = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    for i in range(2):
+        rows.where(_mod("n_nationkey", 2) == i).write.json(f"{path}/{i}")
+    registry = Registry().add_many(2, lambda i: files(f"{path}/{i}", "json"))
+    return ShardedTable.open(spark, registry).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey")).rows()
+
+
+@registered("SELECT * FROM (VALUES (0, CAST(100 AS BIGINT)), (1, 400), (2, 700), (3, 1000)) AS t(shard_index, n)")
+def fixture_skew(spark, sf_dir):
+    return fixtures.skewed_rows(spark, 4, 100, fixtures.Skew.HARSH).groupBy("shard_index").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- merges and terminals ---
 
 
@@ -142,16 +191,23 @@ def demux_one_shard(spark, sf_dir):
     return merge.shard(ShardedTable.by_column(_t(spark, sf_dir, "events"), _mod("user_id", 4), 4).rows(), "2").select("event_id", "user_id")
 
 
+def _dated(spark, sf_dir) -> DataFrame:
+    return _orders(spark, sf_dir).rows().select("o_orderkey", "o_orderdate", F.col("shard_index").cast("long").alias("shard_index"))
+
+
 @registered("SELECT o_orderkey, o_orderdate, o_custkey % 4 AS shard_index, row_number() OVER (ORDER BY o_orderdate, o_custkey % 4, o_orderkey) AS rank FROM orders")
+def merge_ranked(spark, sf_dir):
+    return merge.ranked(_dated(spark, sf_dir), merge.order("o_orderdate", "o_orderkey"))
+
+
+@registered("SELECT o_orderkey, o_orderdate, o_custkey % 4 AS shard_index FROM orders ORDER BY o_orderdate, o_custkey % 4, o_orderkey")
 def merge_ordered_asc(spark, sf_dir):
-    rows = _orders(spark, sf_dir).rows().select("o_orderkey", "o_orderdate", F.col("shard_index").cast("long").alias("shard_index"))
-    return merge.ranked(rows, merge.order("o_orderdate", "o_orderkey"))
+    return merge.ordered(_dated(spark, sf_dir), "o_orderdate", "o_orderkey")
 
 
-@registered("SELECT o_orderkey, o_orderdate, o_custkey % 4 AS shard_index, row_number() OVER (ORDER BY o_orderdate DESC, o_custkey % 4 DESC, o_orderkey) AS rank FROM orders")
+@registered("SELECT o_orderkey, o_orderdate, o_custkey % 4 AS shard_index FROM orders ORDER BY o_orderdate DESC, o_custkey % 4 DESC, o_orderkey")
 def merge_ordered_desc(spark, sf_dir):
-    rows = _orders(spark, sf_dir).rows().select("o_orderkey", "o_orderdate", F.col("shard_index").cast("long").alias("shard_index"))
-    return merge.ranked(rows, merge.order("o_orderdate", "o_orderkey", descending=True))
+    return merge.ordered(_dated(spark, sf_dir), "o_orderdate", "o_orderkey", descending=True)
 
 
 @registered("SELECT c_custkey, c_mktsegment AS segment, row_number() OVER (ORDER BY c_mktsegment DESC, c_custkey % 4, c_custkey) AS rank FROM customer WHERE c_acctbal > 0")
@@ -160,15 +216,15 @@ def merge_ordered_projected(spark, sf_dir):
     return merge.ranked(rows, merge.order("segment", "c_custkey", descending=True, shard_ascending=True)).drop("shard_index")
 
 
-@registered("SELECT event_id, ts, row_number() OVER (ORDER BY ts, user_id % 3, event_id) AS rank FROM events")
+@registered("SELECT event_id, ts FROM events ORDER BY ts, user_id % 3, event_id")
 def merge_sorted_by(spark, sf_dir):
     rows = ShardedTable.by_column(_t(spark, sf_dir, "events"), _mod("user_id", 3), 3).rows().select("event_id", "ts", "shard_index")
-    return merge.ranked(rows, merge.order("ts", "event_id")).drop("shard_index")
+    return merge.merge_sorted_by(rows, "ts", "event_id").drop("shard_index")
 
 
-@registered("SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS rank FROM conversations")
+@registered("SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn")
 def merge_composite_key(spark, sf_dir):
-    return merge.ranked(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), [F.col("conv_id"), F.col("turn")])
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role").orderBy("conv_id", "turn")
 
 
 @registered("SELECT o_orderkey, o_totalprice, CAST(o_custkey % 4 AS VARCHAR) AS shard_id FROM orders WHERE o_custkey % 4 IN (0, 1, 3) ORDER BY o_totalprice DESC, o_custkey % 4 DESC, o_orderkey LIMIT 25")
@@ -227,6 +283,16 @@ def hash_int_key(spark, sf_dir):
     return _t(spark, sf_dir, "nation").select("n_nationkey", H.int_key_hash(F.col("n_nationkey")).alias("h"))
 
 
+@registered(f"SELECT c_custkey, {_le32(_le_bytes('(4294967296 - c_custkey) % 4294967296', 4))} AS h FROM customer")
+def hash_negative_int_key(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", H.int_key_hash((-F.col("c_custkey")).cast("int")).alias("h"))
+
+
+@registered(f"SELECT c_custkey, {_le32(_le_bytes('4294967295 - c_custkey', 4))} AS h FROM customer")
+def hash_uint_key(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", H.uint_key_hash(F.lit(4294967295) - F.col("c_custkey")).alias("h"))
+
+
 @registered(f"SELECT o_orderkey, {_le32(_le_bytes('o_orderkey', 8))} AS h FROM orders")
 def hash_long_key(spark, sf_dir):
     rows = _t(spark, sf_dir, "orders")
@@ -340,6 +406,16 @@ def route_metrics(spark, sf_dir):
     return ring.route_metrics(route_removed_shard_reassign(spark, sf_dir))
 
 
+@registered(_route_sql(_HASHED, ["s1", "s2", "s3"], 100).replace("SELECT k.shard_key", "SELECT k.shard_key, false AS was_existing"))
+def router_add_and_remove(spark, sf_dir):
+    """A router that a shard joined and another left."""
+    own = ring.router(spark, S3, ring.RouterOptions(key_hash=F.col))
+    own.add("s3")
+    own.remove("s0")
+    keys = _hashed(spark, sf_dir)
+    return ring.route(keys, "h", own.shards, own.options).select("shard_key", "shard_id", F.lit(False).alias("was_existing"))
+
+
 def _churn_sql(before: list[str], after: list[str]) -> str:
     return f"SELECT count(*) AS keys, count(*) FILTER (WHERE a.shard_id <> b.shard_id) AS moved FROM ({_route_sql(_HASHED, before, 100)}) AS a JOIN ({_route_sql(_HASHED, after, 100)}) AS b ON a.shard_key = b.shard_key"
 
@@ -410,6 +486,11 @@ def map_history(spark, sf_dir):
     return shard_map.history(*_map(spark, sf_dir), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
 
 
+@registered(f"SELECT shard_key, shard_id FROM ({_MAP}) AS m ORDER BY shard_key")
+def map_enumerate(spark, sf_dir):
+    return shard_map.enumerate_map(_map(spark, sf_dir)[0])
+
+
 @registered(f"SELECT 'shardmap:' || CAST(shard_key AS VARCHAR) AS key, shard_id AS value FROM ({_MAP}) AS m")
 def map_export(spark, sf_dir):
     return shard_map.exported(_map(spark, sf_dir)[0])
@@ -447,6 +528,25 @@ def topology_fingerprint(spark, sf_dir):
     return topology.fingerprint(rows)
 
 
+def _tree_sql() -> str:
+    level = "SELECT substr(sha256(k), 1, 3) AS part, sha256(string_agg(p, ';' ORDER BY p)) AS digest FROM (SELECT c_name AS k, c_name || '->s' || CAST(c_custkey % 3 AS VARCHAR) AS p FROM customer) AS t GROUP BY 1"
+    for n in (2, 1, 0):
+        level = f"SELECT substr(part, 1, {n}) AS part, sha256(string_agg(part || digest, '' ORDER BY part)) AS digest FROM ({level}) AS l{n} GROUP BY 1"
+    return f"SELECT upper(digest) AS fingerprint FROM ({level}) AS t"
+
+
+@registered(_tree_sql())
+def topology_fingerprint_tree(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("shard_key"), F.concat(F.lit("s"), _mod("c_custkey", 3)).alias("shard_id"))
+    return topology.fingerprint_tree(rows)
+
+
+@registered("SELECT o_custkey AS shard_key, 's' || CAST(arg_max(o_orderkey, o_orderkey) % 3 AS VARCHAR) AS shard_id FROM orders GROUP BY 1")
+def topology_snapshot_last_wins(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("shard_key"), F.concat(F.lit("s"), _mod("o_orderkey", 3)).alias("shard_id"), "o_orderkey")
+    return topology.snapshot(rows, 100_000_000, order="o_orderkey")
+
+
 @registered(f"SELECT shard_key, shard_id FROM ({_topology_sql(3)}) AS a EXCEPT ALL SELECT shard_key, shard_id FROM ({_topology_sql(4)}) AS b")
 def topology_difference(spark, sf_dir):
     return topology.difference(_topology(spark, sf_dir, 3), _topology(spark, sf_dir, 4))
@@ -600,7 +700,93 @@ def migrate_end_to_end(spark, sf_dir):
     return done
 
 
-@registered(None)
+def _execution(spark, sf_dir, numbered: bool = False, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    found = M.plan(*_plan_inputs(spark, sf_dir)) if numbered else M.moves(*_plan_inputs(spark, sf_dir)).withColumn("state", F.lit("Planned"))
+    target = how.pop("target", rows.limit(0))
+    return M.execute(found, rows, target, _topology(spark, sf_dir, 3), "c_custkey", **how)
+
+
+@registered(f"SELECT c_custkey AS c_custkey, upper(c_name) AS label FROM customer WHERE c_custkey IN (SELECT shard_key FROM ({_MOVES}) AS m)")
+def migrate_projected(spark, sf_dir):
+    """Rows of a changed schema, copied and verified through one projection."""
+    project = lambda df: df.select("c_custkey", F.upper("c_name").alias("label"))
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    moved, target, _ = _execution(spark, sf_dir, target=project(rows).limit(0), project=project)
+    return target.join(moved.where("state = 'Done'").select(F.col("shard_key").alias("c_custkey")), "c_custkey", "left_semi")
+
+
+@registered(f"SELECT shard_key, 'Done' AS state FROM ({_MOVES}) AS m")
+def migrate_other_column_order(spark, sf_dir):
+    target = _t(spark, sf_dir, "customer").select("c_acctbal", "c_name", "c_custkey").limit(0)
+    return _execution(spark, sf_dir, target=target)[0].select("shard_key", "state")
+
+
+@registered(f"SELECT shard_key, 'Done' AS state, 4 AS pauses FROM ({_MOVES}) AS m")
+def migrate_retry(spark, sf_dir):
+    """Copy and swap fail twice each before they work."""
+    tries, pauses = collections.Counter(), []
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        tries[name] += 1
+        if name in ("copy", "swap") and tries[name] <= 2:
+            raise OSError("not yet")
+        return staged(df, name)
+
+    done = _execution(spark, sf_dir, stage=stage, sleep=pauses.append)[0]
+    return done.select("shard_key", "state", F.lit(len(pauses)).alias("pauses"))
+
+
+@registered(f"SELECT shard_key, 'Failed' AS state FROM ({_MOVES}) AS m")
+def migrate_retries_exhausted(spark, sf_dir):
+    """A swap that never works fails its moves, and the run goes on to its end."""
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        if name == "swap":
+            raise OSError("never")
+        return staged(df, name)
+
+    return _execution(spark, sf_dir, stage=stage, sleep=lambda s: None)[0].select("shard_key", "state")
+
+
+_HALVES = f"SELECT count(*) AS n, (count(*) + 1) // 2 AS b FROM ({_MOVES}) AS m"
+
+
+@registered(f"""SELECT stage, CAST(batch AS INTEGER) AS batch, n AS total, least(n, (batch + 1) * b) AS copied, least(n, (batch + CAST(stage <> 'copy' AS INTEGER)) * b) AS verified,
+  least(n, (batch + CAST(stage = 'swap' AS INTEGER)) * b) AS swapped, CAST(0 AS BIGINT) AS failed FROM ({_HALVES}) AS h, (VALUES ('copy'), ('verify'), ('swap')) AS s(stage), range(2) AS r(batch)""")
+def migrate_progress_events(spark, sf_dir):
+    """The progress after every stage of two batches."""
+    seen: list[M.Progress] = []
+    size = (M.moves(*_plan_inputs(spark, sf_dir)).count() + 1) // 2
+    _execution(spark, sf_dir, numbered=True, options=M.Options(batch_moves=size, progress_s=0), observer=seen.append)
+    return spark.createDataFrame([(p.stage, p.batch, p.total, p.copied, p.verified, p.swapped, p.failed) for p in seen], "stage string, batch int, total long, copied long, verified long, swapped long, failed long")
+
+
+@registered(f"SELECT shard_key, row_number() OVER (ORDER BY shard_key) <= 0 AS lost, 'Done' AS state FROM ({_MOVES}) AS m")
+def migrate_checkpointed(spark, sf_dir):
+    """The checkpoint that a run in two batches left, read back."""
+    store = checkpoint.CheckpointStore(spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/checkpoints")
+    versions = itertools.count()
+    size = (M.moves(*_plan_inputs(spark, sf_dir)).count() + 1) // 2
+    write = lambda found: store.persist(checkpoint.encoded(found, "p", next(versions), F.current_timestamp()))
+    _execution(spark, sf_dir, numbered=True, options=M.Options(batch_moves=size, checkpoint_s=0), checkpoint=write)
+    left = checkpoint.decoded(store.load("p"))
+    return left.select(F.col("shard_key").cast("long").alias("shard_key"), F.lit(False).alias("lost"), "state")
+
+
+@registered(f"SELECT source_shard, target_shard, count(*) AS planned, count(*) FILTER (WHERE shard_key % 8 = 6) AS done, count(*) FILTER (WHERE shard_key % 8 = 7) AS failed, count(*) FILTER (WHERE shard_key % 8 < 6) AS open, count(*) FILTER (WHERE shard_key % 8 = 7) / count(*) AS failed_share FROM ({_MOVES}) AS m GROUP BY ALL")
+def migrate_metrics(spark, sf_dir):
+    return metrics.migration_counts(_states(spark, sf_dir))
+
+
+@registered(f"SELECT shard_key, shard_key % 11 <> 0 AS verified FROM ({_MOVES}) AS m")
+def verify_present(spark, sf_dir):
+    return _verified(spark, sf_dir, how=M.Verification.PRESENT)
+
+
+_STATE = "['" + "', '".join(M.STATES) + "'][o_orderkey % 8 + 1]"
+
+
+@registered(f"SELECT 'plan-1' AS plan_id, 1 AS version, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 8 <> 0) AS last_index, CAST(o_orderkey AS VARCHAR) AS shard_key, {_STATE} AS state FROM orders")
 def checkpoint_json_roundtrip(spark, sf_dir):
     found = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("shard_key"), F.col("o_orderkey").alias("ord"), F.element_at(F.array(*map(F.lit, M.STATES)), (_mod("o_orderkey", 8) + 1).cast("int")).alias("state"))
     return checkpoint.decoded(checkpoint.encoded(found, "plan-1", 1, F.lit("2024-01-01").cast("timestamp")))
@@ -664,6 +850,27 @@ def health_availability(spark, sf_dir):
     return health.availability(spark.createDataFrame([("0",), ("1",), ("2",), ("3",)], "shard_id string"), _reports(spark))
 
 
+@registered("SELECT * FROM (VALUES (0, 'a', 'Healthy'), (0, 'b', 'Unknown'), (1, 'a', 'Healthy'), (1, 'b', 'Unknown'), (2, 'a', 'Healthy'), (2, 'b', 'Unhealthy'), (3, 'a', 'Healthy'), (3, 'b', 'Unhealthy'), (4, 'a', 'Healthy'), (4, 'b', 'Healthy')) AS t(round, shard_id, status)")
+def health_policy_cooldown(spark, sf_dir):
+    """Rounds of live probes of a shard that is down at first, 30 seconds apart; in its cooldown it is left alone."""
+    now, down, asked = [0.0], [True], []
+
+    def flaky(session: SparkSession) -> DataFrame:
+        asked.append(now[0])
+        if down[0]:
+            raise OSError("down")
+        return session.range(1)
+
+    policy = health.HealthPolicy(spark, Registry().add("a", frame(spark.range(1))).add("b", flaky), timeout_s=0, clock=lambda: now[0])
+    seen = []
+    for n in range(5):
+        down[0] = n < 3
+        policy.probe()
+        seen += [(n, s, status) for s, status in policy.status.items()]
+        now[0] += 30.0
+    return spark.createDataFrame(seen, "round int, shard_id string, status string")
+
+
 # --- schedules ---
 
 

@@ -39,6 +39,11 @@ def int_key_hash(key: Column) -> Column:
     return sha256_le32(_integer_bytes(key, 4))
 
 
+def uint_key_hash(key: Column) -> Column:
+    """Of an unsigned 32-bit integer held in a long, as four little-endian bytes."""
+    return int_key_hash(key)
+
+
 def long_key_hash(key: Column) -> Column:
     return sha256_le32(_integer_bytes(key, 8))
 
@@ -50,8 +55,10 @@ def guid_key_hash(key: Column) -> Column:
     return sha256_le32(F.unhex(F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in order))))
 
 
-def key_hash(key: Column, kind: T.DataType) -> Column:
-    """The hash for a key column of this type; other types are refused."""
+def key_hash(key: Column, kind: T.DataType, own: Callable[[Column], Column] | None = None) -> Column:
+    """The hash for a key column of this type, or the caller's own; other types are refused."""
+    if own is not None:
+        return own(key)
     if isinstance(kind, T.StringType):
         return string_key_hash(key)
     if isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):

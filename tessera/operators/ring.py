@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import RoutingError
-from ..functions.hashing import TWO32, string_key_hash
+from ..functions.hashing import TWO32, key_hash, string_key_hash
+from ..sources.shard_map import MapStore
+from ..staging import staged
 
 BROADCAST_POINTS = 2_000_000
 
@@ -21,6 +23,9 @@ class RouterOptions:
     consistent: bool = True
     replication: int = 100
     ring_hash: Callable[[Column], Column] = field(default=string_key_hash)
+    key_hash: Callable[[Column], Column] | None = None
+    store: Callable[[SparkSession], MapStore] | None = None
+    router: Callable[[SparkSession, Sequence[str], RouterOptions], Router] | None = None
 
     def __post_init__(self) -> None:
         if not 1 <= self.replication <= 10_000:
@@ -113,3 +118,39 @@ def distribution(routed: DataFrame) -> DataFrame:
     """Keys a shard: shards, mean and coefficient of variation."""
     counts = routed.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.count(F.lit(1)).alias("shards"), F.avg("n").alias("mean_keys"), (F.stddev_pop("n") / F.avg("n")).alias("cv"))
+
+
+class Router:
+    """Routes keys to the shards it knows; assignments stay with the map store, if there is one."""
+
+    def __init__(self, spark: SparkSession, shards: Sequence[str], options: RouterOptions = RouterOptions()):
+        self.spark, self.options, self.shards = spark, options, _checked(shards)
+        self.store = options.store(spark) if options.store else None
+
+    def add(self, shard_id: str) -> None:
+        """A new shard; one that is known already is an error."""
+        if shard_id in self.shards:
+            raise RoutingError(f"shard {shard_id} is known already", shard_id=shard_id)
+        self.shards = _checked([*self.shards, shard_id])
+
+    def remove(self, shard_id: str) -> bool:
+        """Whether the shard was known. The last one can't go."""
+        if shard_id not in self.shards:
+            return False
+        self.shards = _checked([s for s in self.shards if s != shard_id])
+        return True
+
+    def route(self, keys: DataFrame, key: str = "shard_key") -> DataFrame:
+        """keys with shard_id and was_existing; new assignments go to the store."""
+        hashed = keys.withColumn("_h", key_hash(F.col(key), keys.schema[key].dataType, self.options.key_hash))
+        found = route(hashed, "_h", self.shards, self.options).drop("_h")
+        if self.store is None:
+            return found.withColumn("was_existing", F.lit(False))
+        resolved = staged(resolve(found, self.store.rows(), self.shards, key), "routed")  # decided once
+        self.store.assign(delta(resolved, key))
+        return resolved
+
+
+def router(spark: SparkSession, shards: Sequence[str], options: RouterOptions = RouterOptions()) -> Router:
+    """The router that the options ask for."""
+    return (options.router or Router)(spark, shards, options)

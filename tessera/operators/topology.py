@@ -11,13 +11,14 @@ from ..errors import TopologyError
 from ..functions.hashing import mod64
 
 
-def snapshot(stored: DataFrame, max_keys: int = 1_000_000) -> DataFrame:
-    """The map as a topology; refused beyond max_keys."""
+def snapshot(stored: DataFrame, max_keys: int = 1_000_000, order: str | None = None) -> DataFrame:
+    """The map as a topology; refused beyond max_keys rows. Of a key's rows the last by ``order`` (else by shard) stays."""
     if max_keys <= 0:
         raise ValueError("the key cap must be positive")
     if stored.limit(max_keys + 1).count() > max_keys:
         raise TopologyError(f"Snapshot key cap of {max_keys} exceeded", cap=max_keys)
-    return stored.select("shard_key", "shard_id")
+    by = F.struct(*([order] if order else []), "shard_id")
+    return stored.groupBy("shard_key").agg(F.max_by("shard_id", by).alias("shard_id"))
 
 
 def counts(topology: DataFrame) -> DataFrame:
@@ -36,24 +37,34 @@ def validate(topology: DataFrame) -> tuple[int, dict[str, int]]:
     return sum(found.values()), found
 
 
-def fingerprint(topology: DataFrame, parts: int = 1024) -> DataFrame:
+def fingerprint(topology: DataFrame) -> DataFrame:
     """One upper-case SHA-256 for the whole topology, whatever the order of its rows.
 
-    It digests ``key->shard`` joined by ``;`` in byte order of the keys. That string is as
-    long as the topology, so use ``fingerprint_tree`` beyond some millions of keys.
+    It digests ``key->shard`` joined by ``;`` in byte order of the keys. A digest of one string
+    is sequential and that string is as long as the topology, so use ``fingerprint_tree``
+    beyond some millions of keys.
     """
     pairs = F.array_sort(F.collect_list(F.struct(F.col("shard_key").cast("string").alias("k"), F.col("shard_id").alias("s"))))
     text = F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("->"), p["s"])), ";")
     return topology.agg(F.upper(F.sha2(text, 256)).alias("fingerprint"))
 
 
-def fingerprint_tree(topology: DataFrame, parts: int = 4096) -> DataFrame:
-    """A two-level digest for large topologies: of the digests of key-hash parts, in order."""
+def fingerprint_tree(topology: DataFrame, digits: int = 3) -> DataFrame:
+    """A digest for topologies of any size: a tree over the key's SHA-256.
+
+    A leaf digests the pairs whose key's digest starts with the same ``digits`` hex digits; 16
+    neighbours are digested into one, level by level, so no task holds more than a leaf or 16
+    digests. Take a digit more for each 16 times more keys.
+    """
+    if not 1 <= digits <= 16:
+        raise ValueError("a leaf is named by 1 to 16 digits")
     key = F.col("shard_key").cast("string")
     pairs = F.array_sort(F.collect_list(F.concat(key, F.lit("->"), F.col("shard_id"))))
-    leaves = topology.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")).agg(F.sha2(F.array_join(pairs, ";"), 256).alias("digest"))
-    all_leaves = F.array_sort(F.collect_list(F.struct("part", "digest")))
-    return leaves.agg(F.upper(F.sha2(F.array_join(F.transform(all_leaves, lambda p: p["digest"]), ""), 256)).alias("fingerprint"))
+    level = topology.groupBy(F.substring(F.sha2(key, 256), 1, digits).alias("part")).agg(F.sha2(F.array_join(pairs, ";"), 256).alias("digest"))
+    for n in reversed(range(digits)):
+        below = F.array_sort(F.collect_list(F.struct("part", "digest")))
+        level = level.groupBy(F.substring("part", 1, n).alias("part")).agg(F.sha2(F.array_join(F.transform(below, lambda p: F.concat(p["part"], p["digest"])), ""), 256).alias("digest"))
+    return level.agg(F.upper(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256))).alias("fingerprint"))
 
 
 def rebalance(topology: DataFrame, assign: Callable[[Column], Column], only_changes: bool = False) -> DataFrame:

@@ -8,7 +8,8 @@ out; nothing here schedules shards by hand.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -78,10 +79,35 @@ class ShardedTable:
         return ShardedTable.union(frames, source)
 
     @staticmethod
-    def by_column(df: DataFrame, index: Column, count: int, source: str = "rows", names: Callable[[Column], Column] | None = None) -> ShardedTable:
-        """Rows of one table that an index expression (0 to count - 1) spreads over shards: a single scan."""
-        shard = F.col("shard_index").cast("string") if names is None else names(F.col("shard_index"))
-        return ShardedTable(df.withColumn("shard_index", index.cast("int")).withColumn("shard_id", shard), tuple(map(str, range(count))), source)
+    def by_column(df: DataFrame, index: Column, count: int, source: str = "rows", names: Sequence[str] | None = None) -> ShardedTable:
+        """Rows of one table that an index expression (0 to count - 1) spreads over shards: a single scan.
+
+        names are the shards' ids, by index; without them, the indexes. As the shard follows
+        from a row's values, a target only filters; ``laid_out`` tables are pruned.
+        """
+        ids = tuple(map(str, range(count) if names is None else names))
+        if len(ids) != count or len(set(ids)) != count:
+            raise QueryError("there must be one name for each shard", phase="Source", names=ids, shards=count)
+        shard = F.col("shard_index").cast("string") if names is None else F.element_at(F.array(*map(F.lit, ids)), F.col("shard_index") + 1)
+        return ShardedTable(df.withColumn("shard_index", index.cast("int")).withColumn("shard_id", shard), ids, source)
+
+    def lay_out(self, path: str) -> ShardedTable:
+        """Write the rows with a folder for each shard, and return the table that reads them.
+
+        A target then lists and reads its own folders only. Tasks are dealt by shard and, within
+        a shard, over as many files as its rows need, so a large shard isn't one task's.
+        """
+        spread = self.rows().withColumn("_deal", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
+        spread.repartition("shard_id", "_deal").drop("_deal").write.partitionBy("shard_id", "shard_index").parquet(path)
+        return ShardedTable.laid_out(self.frame.sparkSession, path, self.shard_ids, self.source)
+
+    @staticmethod
+    def laid_out(spark: SparkSession, path: str, shard_ids: Sequence[str], source: str = "rows") -> ShardedTable:
+        """A table that ``lay_out`` wrote."""
+        rows = spark.read.parquet(path)
+        data = [c for c in rows.columns if c not in SHARD_COLUMNS]
+        kept = rows.select(*data, F.col("shard_id").cast("string").alias("shard_id"), F.col("shard_index").cast("int").alias("shard_index"))
+        return ShardedTable(kept, tuple(shard_ids), source)
 
     def where(self, condition: Column) -> ShardedTable:
         """And this condition. Python functions are refused: they couldn't be pushed to the shards."""
@@ -140,19 +166,31 @@ def query(table: ShardedTable, where: Column | None = None, select: Iterable[Col
     return table
 
 
-def isolated(table: ShardedTable, write: Callable[[str, DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, Exception]]:
+def isolated(table: ShardedTable, write: Callable[[str, DataFrame], DataFrame], at_once: int = 8) -> tuple[DataFrame, dict[str, Exception]]:
     """Best effort with one job a shard: what the shards that answered returned, and the failures of the others.
 
     write materialises a shard's rows, for instance in the shared folder, and returns them.
+    Up to ``at_once`` shards run side by side; results are merged in shard order.
     """
+    if at_once < 1:
+        raise ValueError("at least one shard must run at a time")
     done, failed = [], {}
     targets = table.targets()
-    for shard_id in table.shard_ids if targets is None else targets.ids:
+    ids = table.shard_ids if targets is None else targets.ids
+
+    def run(shard_id: str) -> DataFrame | Exception:
         try:
-            done.append(write(shard_id, table.where_shard(shard_id).rows()))
+            return write(shard_id, table.where_shard(shard_id).rows())
         except Exception as e:
-            failed[shard_id] = e
             log.warning("shard %s failed: %s", shard_id, e)
+            return e
+
+    with ThreadPoolExecutor(at_once) as pool:
+        for shard_id, found in zip(ids, pool.map(run, ids), strict=True):
+            if isinstance(found, Exception):
+                failed[shard_id] = found
+            else:
+                done.append(found)
     if not done:
         raise AllShardsFailed("no shard answered", phase="Execution", failures=failed)
     return reduce(lambda a, b: a.unionByName(b), done), failed

@@ -1,13 +1,14 @@
 """The shard map: which shard owns a key. Assignments are a DataFrame (shard_key, shard_id).
 
 Operations are set-based and pure: they take the stored rows and a batch and return the
-new rows, which ``MapStore`` writes to a fresh folder before it moves its pointer.
+new rows, which ``MapStore`` writes to a fresh folder before it sets a new pointer to it.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,41 +72,73 @@ def exported(stored: DataFrame, prefix: str = "shardmap:") -> DataFrame:
 
 
 class MapStore:
-    """A shard map in a folder, copy-on-write. One writer at a time."""
+    """A shard map in a folder, copy-on-write.
 
-    def __init__(self, spark: SparkSession, path: str, key_type: str = "string", name: str = "shard_map"):
+    Every write makes a new version folder and then a new pointer file, numbered one higher,
+    by a rename. So readers see one whole version or the other, whenever a writer stops, and of
+    two writers at once the second is refused. The last ``KEPT`` versions stay for readers
+    that are still at work. on_change is given the changes of every ``assign``.
+    """
+
+    KEPT = 3
+
+    def __init__(self, spark: SparkSession, path: str, key_type: str = "string", name: str = "shard_map", on_change: Callable[[DataFrame], None] | None = None):
         self.spark, self.path, self.name = spark, path.rstrip("/"), checked_name(name)
         self.schema = f"shard_key {key_type}, shard_id string"
-        self._pointer = f"{self.path}/{self.name}_current"
+        self.on_change = on_change
+
+    def _path(self, *parts: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
 
     def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self._pointer)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+        return self._path(self.name).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _pointers(self) -> list[str]:
+        """Names of the pointer files, oldest first: numbers. Each holds the name of a version folder."""
+        fs, where = self._fs(), self._path(f"{self.name}_pointers")
+        names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(n for n in names if re.fullmatch(r"\d{12}", n))
+
+    def _version(self, pointer: str) -> str:
+        return self.spark.read.text(f"{self.path}/{self.name}_pointers/{pointer}").head()[0]
 
     def rows(self) -> DataFrame:
-        fs, where = self._fs()
-        if not fs.exists(where):
-            return self.spark.createDataFrame([], self.schema)
-        version = self.spark.read.text(self._pointer).head()[0]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+        if found := self._pointers():
+            return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.name}_versions/{self._version(found[-1])}")
+        if self._fs().exists(self._path(f"{self.name}_versions")):
+            raise StoreError("the map has versions but no pointer to one", path=self.path, name=self.name)
+        return self.spark.createDataFrame([], self.schema)
 
     def _write(self, rows: DataFrame) -> None:
-        version = f"{self.name}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer)
+        before, version = self._pointers(), uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{self.name}_versions/{version}")
+        fs, number = self._fs(), int(before[-1][:12]) + 1 if before else 0
+        fs.mkdirs(self._path(f"{self.name}_pointers"))
+        draft, pointer = self._path(f"{self.name}_pointers", f"_draft-{version}"), self._path(f"{self.name}_pointers", f"{number:012d}")
+        out = fs.create(draft, False)
+        out.write(bytearray(version.encode()))
+        out.close()
+        if fs.exists(pointer) or not fs.rename(draft, pointer):
+            raise StoreError("another writer changed the map", path=self.path, name=self.name)
+        for old in before[: -self.KEPT + 1]:
+            fs.delete(self._path(f"{self.name}_versions", self._version(old)), True)
+            fs.delete(self._path(f"{self.name}_pointers", old), False)
 
     def assign(self, batch: DataFrame, order: Column | str | None = None) -> None:
+        from ..staging import staged
+
         before = self.rows()
-        changes = history(before, batch, F.current_timestamp(), order)
-        changes.write.mode("append").parquet(f"{self.path}/{self.name}_history")
+        changes = staged(history(before, batch, F.current_timestamp(), order), "changes")
         self._write(upsert(before, batch, order))
+        changes.write.mode("append").parquet(f"{self.path}/{self.name}_history")
+        if self.on_change:
+            self.on_change(changes)
 
     def try_assign(self, batch: DataFrame, order: Column | str | None = None) -> DataFrame:
         """Who owns the batch's keys now, and which of them were created."""
-        before = self.rows()
         from ..staging import staged
 
+        before = self.rows()
         decided = staged(try_assign(before, batch, order), "assigned")
         self._write(before.unionByName(decided.where("created").select("shard_key", "shard_id")))
         return decided
