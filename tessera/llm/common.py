@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import shared_dir, staged
+from ..staging import discard, shared_dir, staged
 
-__all__ = ["bounded_sample", "fold", "fresh", "held_out", "shared_dir", "staged", "table"]
+__all__ = ["bounded_sample", "discard", "fold", "fresh", "held_out", "shared_dir", "staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 WIDTH = 3
 RADIUS = 2
@@ -227,17 +227,20 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds until the edges no longer change. In a large star a node
     hands its smallest neighbour to its larger ones, in a small star to its smaller ones; edges
     are kept as (larger, smaller), so a root never looks anything up. Every round, and the
-    small table of smallest neighbours that it joins, is written to the shared folder.
+    small table of smallest neighbours that it joins, is written to the shared folder, and
+    removed when the next is written.
     """
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
         low = staged(edges.groupBy("a").agg(F.min("b").alias("lo")), "low")
         large = edges.join(low.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("lo", "b").alias("b"))
-        edges = staged(large.distinct(), "edges")
+        written, edges = edges, staged(large.distinct(), "edges")
+        discard(written, low)
         low = staged(edges.groupBy("a").agg(F.min("b").alias("lo")), "low")
         rest = edges.join(low, "a").where("b <> lo").select(F.col("b").alias("a"), F.col("lo").alias("b"))
-        edges = staged(rest.unionByName(low.select("a", F.col("lo").alias("b"))).distinct(), "edges")
+        written, edges = edges, staged(rest.unionByName(low.select("a", F.col("lo").alias("b"))).distinct(), "edges")
+        discard(written, low)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if now == before or now[0] == 0:
             roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
