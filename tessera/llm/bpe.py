@@ -11,8 +11,10 @@ most three bytes of an unfinished character; without a decoder the token strings
 joined by one blank, as the tokenizers library does.
 
 Texts are cut at blanks and line ends, which no piece spans, so memory does not grow with
-a text beyond the text itself. Null texts count as empty: no ids, empty
-decoded text. Ids are little-endian unsigned 32-bit integers in the digest.
+a very long text beyond the text itself. Null texts count as empty: no ids, empty
+decoded text. Ids are little-endian unsigned 32-bit integers in the digest. Repeated rows, and
+rows that share a doc_id or have none, are encoded each on its own; an empty table gives an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

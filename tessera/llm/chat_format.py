@@ -14,7 +14,8 @@ control string is left inside and removing one backslash of each restores the te
 
 Null texts and roles count as empty. Turns are ordered by turn, then role, then text;
 repeated rows are turns of their own. Null turns come first. A null conv_id is a
-conversation like any other.
+conversation like any other. Very long texts are escaped and read back whole. An empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..staging import discard, shared_dir, staged
 
-__all__ = ["bounded_sample", "discard", "fold", "fresh", "held_out", "shared_dir", "staged", "table"]
+__all__ = ["bounded_sample", "discard", "fold", "fresh", "held_out", "shared_dir", "spread", "staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,17 @@ def fresh(name: str, columns: list[str]) -> str:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
-    """The rows of df whose keys are among the ``rows`` smallest by a seeded hash of the key.
+    """At most so many rows of df: one for each of the keys that are the smallest by a seeded hash of the key.
 
-    ``rows`` bounds the broadcast side. Meant for fitting models only.
+    Of the rows of one key, that of the smallest hash is taken. ``rows`` bounds the broadcast
+    side too. Meant for fitting models only.
     """
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     keys = keys.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(rows)
-    return df.join(F.broadcast(keys), key, "left_semi")
+    found = df.join(F.broadcast(keys), key, "left_semi")
+    return found.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("row")).select("row.*")
+
+
+def spread(spark: SparkSession, most: int = 64) -> int:
+    """In how many parts a bounded sample is worked on."""
+    return max(1, min(most, spark.sparkContext.defaultParallelism))

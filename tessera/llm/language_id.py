@@ -8,7 +8,10 @@ by cosine.
 
 Case is folded; every run position that isn't a letter counts as one blank symbol, and
 trigrams need a letter in the middle. Null texts and texts without a letter are ``und``
-with score 0. Ties go to the smaller language name. Extra columns are ignored.
+with score 0, and so is every text when there was nothing to learn from. Ties go to the
+smaller language name. Very long texts are bundled in pieces, whole. Repeated rows, and rows
+that share a doc_id or have none, are identified each on its own; an empty table gives an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, held_out
+from .common import bounded_sample, fold, held_out, spread
 
 UNKNOWN = "und"
 _PIECE = 1 << 20
@@ -126,10 +129,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit_profiles(docs: DataFrame, dim: int = 1024, seed: int = 7, max_docs: int = 10_000) -> tuple[list[str], np.ndarray]:
     """Language names and unit prototypes, from docs(doc_id, text, lang) with non-null lang.
 
-    Fitted on at most ``max_docs`` documents, chosen by a hash of doc_id.
+    Fitted on at most ``max_docs`` documents, chosen by a hash of doc_id, one row for each.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = bounded_sample(known, "doc_id", max_docs, seed).select("text", "lang").repartition(6)
+    rows = bounded_sample(known, "doc_id", max_docs, seed).select("text", "lang").repartition(spread(docs.sparkSession))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sums = HyperEncoder(dim, seed), {}
