@@ -36,6 +36,26 @@ def test_store(spark, tmp_path):
         MapStore(spark, "x", name="drop table")
 
 
+def test_store_survives_a_stopped_writer(spark, tmp_path):
+    seen = []
+    store = MapStore(spark, f"file://{tmp_path}", on_change=lambda df: seen.append(df.count()))
+    for i in range(6):
+        store.assign(table(spark, a=f"s{i}", b="s0"))
+    assert seen == [2, 1, 1, 1, 1, 1] and pairs(store.rows()) == {"a": "s5", "b": "s0"}
+    assert len(list((tmp_path / "shard_map_versions").iterdir())) == MapStore.KEPT
+    spark.createDataFrame([("x", "y")], KEYS).write.parquet(str(tmp_path / "shard_map_versions" / "torn"))  # written, never pointed to
+    assert pairs(store.rows()) == {"a": "s5", "b": "s0"}
+    other = MapStore(spark, f"file://{tmp_path}")
+    held, other._pointers = other._pointers(), lambda: held[:-1]
+    with pytest.raises(StoreError, match="another writer"):
+        other.assign(table(spark, a="s9"))
+    assert pairs(store.rows())["a"] == "s5"
+    for f in (tmp_path / "shard_map_pointers").iterdir():
+        f.unlink()
+    with pytest.raises(StoreError, match="no pointer"):
+        store.rows()
+
+
 def test_topology(spark):
     rows = spark.createDataFrame([(f"k{i}", f"s{i % 2}") for i in range(10)], KEYS)
     assert topology.validate(rows) == (10, {"s0": 5, "s1": 5})
@@ -85,6 +105,39 @@ def test_missing_rows_fail(spark):
         M.copy_rows(rows, rows.drop("v"), found, "id")
 
 
+def test_execution_in_batches(spark):
+    rows = spark.range(25).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("v"))
+    stored = rows.select(F.col("id").alias("shard_key"), F.lit("a").alias("shard_id"))
+    found, events, saved = M.plan(stored, stored.withColumn("shard_id", F.lit("b"))), [], []
+
+    def observer(p):
+        events.append(p)
+        raise OSError("an observer's trouble must not stop the run")
+
+    options = M.Options(batch_moves=10, progress_s=0, checkpoint_s=0)
+    done, target, new = M.execute(found, rows, rows.limit(0), stored, "id", options, observer=observer, checkpoint=lambda df: saved.append(df.count()))
+    assert tuple(M.summary(done, 1.5).head()) == (25, 25, 0, 1.5) and target.count() == 25 and {r[0] for r in new.select("shard_id").collect()} == {"b"}
+    assert [(p.stage, p.batch, p.swapped) for p in events][2::3] == [("swap", 0, 10), ("swap", 1, 20), ("swap", 2, 25)] and saved == [25] * 9
+    slow = M.Options(batch_moves=10, progress_s=1e9, checkpoint_s=1e9)
+    events.clear()
+    M.execute(found, rows, rows.limit(0), stored, "id", slow, observer=events.append)
+    assert [p.swapped for p in events] == [0, 25]  # the first, and the last by force
+    with pytest.raises(MigrationError):
+        M.execute(found, rows, rows.limit(0).drop("v"), stored, "id")
+
+
+def test_columns_are_compared_in_one_order(spark):
+    source = spark.createDataFrame([("a", "1", 2)], "id string, v string, w int")
+    target = source.select("w", "id", "v")
+    found = spark.createDataFrame([("a",)], "shard_key string")
+    for how in (M.Verification.FULL, M.Verification.CHECKSUM, M.Verification.PRESENT):
+        assert M.verified(found, source, target, "id", how).head()["verified"]
+    renamed = source.select("id", F.upper("v").alias("label"))
+    assert M.verified(found, source, renamed, "id", project=lambda df: df.select("id", F.upper("v").alias("label"))).head()["verified"]
+    with pytest.raises(MigrationError):
+        M.verified(found, source, renamed, "id")
+
+
 def test_verification(spark):
     schema = "id string, v string, row_version binary"
     source = spark.createDataFrame([("a", "1", b"1"), ("b", "2", None), ("c", "3", b"3"), ("d", "4", b"4")], schema)
@@ -137,6 +190,8 @@ def test_checkpoints(spark, tmp_path):
     store.persist(encoded(moves, "p", 1, now))
     store.persist(encoded(moves.withColumn("state", F.lit("Done")), "p", 2, now))
     assert {r["state"] for r in decoded(store.load("p")).collect()} == {"Done"}
+    store.persist(encoded(moves, "p", 3, now).where("part % 2 = 0"))  # torn: parts are missing
+    assert {(r["version"], r["shard_key"], r["last_index"]) for r in decoded(store.load("p")).collect()} == {(2, "a", 1), (2, "b", 1)}
     assert store.load("q") is None
 
 
