@@ -21,6 +21,7 @@ column is given a name that is free.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_sample, fold, held_out, table
+from .common import bounded_sample, fold, held_out, spread, table
 
-DIM = 128
+DIM = 96
 ONES = 8
 ROWS = 1 << 14
 CUT = 0.3
@@ -64,7 +65,7 @@ def index_vectors(hashes: np.ndarray, dim: int = DIM) -> np.ndarray:
     row = np.arange(len(hashes))
     for k in range(ONES):
         place = _mix(hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(dim)
-        np.add.at(out, (row, place.astype(np.int64)), 1 if k % 2 else -1)
+        out[row, place.astype(np.int64)] += 1 if k % 2 else -1
     return out
 
 
@@ -76,52 +77,53 @@ def rows_of(hashes: np.ndarray, size: int) -> np.ndarray:
 class Pooler:
     """Texts to feature rows, with a given context table."""
 
-    def __init__(self, contexts: np.ndarray, bound: int = 100_000):
+    def __init__(self, contexts: np.ndarray, bound: int = 150_000):
         self.contexts, self.bound = contexts, bound
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.words: dict[str, int] = {}  # the rows of its core and, 32 bits higher, of its shape
+        self.rows: dict[str, int] = {"": 0}
         self.table = np.zeros((1024, self.contexts.shape[1]), np.float32)
-        self.learn([AGAIN, LINE_AGAIN], [(AGAIN,), (LINE_AGAIN,)])
+        self.learn([AGAIN, LINE_AGAIN])
 
-    def learn(self, words: list[str], units: list[tuple[str, ...]]) -> None:
-        """Adds the vectors of new words: the sum of their units'."""
-        hashes = np.array([unit_hash(u) for own in units for u in own], np.uint64)
+    def learn(self, units: list[str]) -> None:
+        """Adds the vectors of new units."""
+        hashes = np.fromiter(map(unit_hash, units), np.uint64, len(units))
         vectors = index_vectors(hashes, self.contexts.shape[1]) / np.float32(np.sqrt(ONES)) + self.contexts[rows_of(hashes, len(self.contexts))]
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-        starts = np.cumsum([0] + [len(own) for own in units])[:-1]
-        at = len(self.known)
-        while len(self.table) < at + len(words):
+        at = len(self.rows)
+        while len(self.table) < at + len(units):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at : at + len(words)] = np.add.reduceat(vectors, starts, axis=0)
-        self.known.update(zip(words, range(at, at + len(words)), strict=True))
+        self.table[at : at + len(units)] = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        self.rows.update(zip(units, range(at, at + len(units)), strict=True))
+
+    def places(self, words: Counter[str]) -> np.ndarray:
+        """The rows of each of these words."""
+        if len(self.words) > 4 * self.bound or len(self.rows) > self.bound:
+            self.clear()
+        known, rows = self.words, self.rows
+        new = {w: shape_of(w) for w in words if w not in known}
+        if units := [u for u in dict.fromkeys(u for pair in new.values() for u in pair) if u not in rows]:
+            for at in range(0, len(units), 8192):
+                self.learn(units[at : at + 8192])
+        for word, (core, shape) in new.items():
+            known[word] = rows[core] | rows[shape] << 32
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def features(self, text: str | None) -> np.ndarray:
-        dim = self.contexts.shape[1]
-        out = np.zeros(dim, np.float32)
         words = (text or "").split()
         if not words:
-            return out
-        distinct = set(words)
-        total = np.zeros(dim, np.float64)
-        if len(self.known) + len(distinct) > self.bound:
-            self.clear()
-        known = self.known
-        new = [w for w in distinct if w not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.learn(part, [tuple(u for u in shape_of(w) if u) for w in part])
-        rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        weights = np.bincount(rows)
-        used = np.flatnonzero(weights)
-        total += weights[used].astype(np.float32) @ self.table[used]
-        total += (len(words) - len(distinct)) * self.table[0]
+            return np.zeros(self.contexts.shape[1], np.float32)
+        counts = Counter(words)
+        places = self.places(counts)
+        times = np.fromiter(counts.values(), np.float32, len(counts))
+        shapes, of = np.unique(places >> 32, return_inverse=True)
+        total = times @ self.table[places & 0xFFFFFFFF] + np.bincount(of, times).astype(np.float32) @ self.table[shapes]
+        total += (len(words) - len(counts)) * self.table[self.rows[AGAIN]]
         lines = [x for x in text.split("\n") if x]
         if len(lines) > 1 and len(first := set(lines)) < len(lines):
-            total += (len(words) - sum(len(x.split()) for x in first)) * self.table[1]
-        out[:] = total / len(words)
-        return out
+            total += (len(words) - sum(len(x.split()) for x in first)) * self.table[self.rows[LINE_AGAIN]]
+        return (total / len(words)).astype(np.float32)
 
 
 def context_vectors(texts: DataFrame, dim: int = DIM, size: int = ROWS) -> np.ndarray:
@@ -216,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, seed: int = 1
     marked = bounded_sample(marked.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality")), "doc_id", max_docs, seed)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
     known = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").alias("quality"))
-    known = known.persist()  # at most max_docs rows
+    known = known.repartition(spread(docs.sparkSession)).persist()  # at most max_docs rows
     try:
         shared = docs.sparkSession.sparkContext.broadcast(context_vectors(known.select("text")))  # bounded by ROWS
 
