@@ -46,7 +46,8 @@ UNITS = "mm cm m km in ft mi mile miles metre metres meter meters inch inches fo
 
 def _joined(text: Column) -> Column:
     """With the white space inside a run of names replaced, so that a run stays one word."""
-    return F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;]\s\p{Lu}[\p{L}\p{M}]{0,30})(?<=[\p{Ll}\p{N}])\s(?=\p{Lu})", JOIN)
+    # Patterns begin with what is rare, and look behind from there.
+    return F.regexp_replace(text, r"\s(?=\p{Lu})(?<=[\p{Ll}\p{N}]\s)(?<=[\p{Ll}\p{N},;]\s\p{Lu}[\p{L}\p{M}]{0,30}\s)", JOIN)
 
 
 def _plain(text: Column) -> Column:
@@ -55,15 +56,15 @@ def _plain(text: Column) -> Column:
 
 
 def _split(text: Column, more: str = "") -> Column:
-    return F.filter(F.split(text, rf"[\s\x1c-\x1f\x85\xa0{more}]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, rf"[\s\x1c-\x1f\x85\xa0{more}]+"), "")
 
 
 def template(joined: Column) -> Column:
     """The template words of a text whose runs of names are joined."""
-    named = F.regexp_replace(joined, rf"(?<=[\p{{Ll}}\p{{N}},;]\s)\p{{Lu}}[\p{{L}}\p{{M}}]*(?:{JOIN}\p{{Lu}}[\p{{L}}\p{{M}}]*)*", NAME)
-    counted = F.regexp_replace(_plain(named), r"(?<!\S)\p{N}+(?!\S)", NUMBER)
+    named = F.regexp_replace(joined, rf"\p{{Lu}}(?<=[\p{{Ll}}\p{{N}},;]\s\p{{Lu}})[\p{{L}}\p{{M}}]*(?:{JOIN}\p{{Lu}}[\p{{L}}\p{{M}}]*)*", NAME)
+    counted = F.regexp_replace(_plain(named), r"\p{N}(?<!\S\p{N})\p{N}*(?!\S)", NUMBER)
     units = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
-    return _split(F.regexp_replace(F.lower(counted), rf"(?<={NUMBER}\s)(?:{units})(?!\S)", UNIT))
+    return _split(F.regexp_replace(F.lower(counted), rf"{NUMBER}\s(?:{units})(?!\S)", f"{NUMBER} {UNIT}"))
 
 
 def _is_slot(word: Column) -> Column:
@@ -80,7 +81,9 @@ def worded(rows: DataFrame, keys: list[str]) -> DataFrame:
     t = t.select(*keys, template(F.col("joined")).alias("t"), F.lower(_plain(F.col("joined"))).alias("low"))
     slotted = F.exists("t", _is_slot)
     # No filter on the words' number: it would be pushed below and make the template twice.
-    return t.select(*keys, "t", F.when(slotted, _split(F.col("low"))).alias("v"), F.when(slotted, _split(F.col("low"), JOIN)).alias("plains"))
+    t = t.select(*keys, "t", "low", F.when(slotted, _split(F.col("low"))).alias("v"))
+    plains = F.when(F.col("v").isNull(), None).when(F.contains("low", F.lit(JOIN)), _split(F.col("low"), JOIN)).otherwise(F.col("v"))
+    return t.select(*keys, "t", "v", plains.alias("plains"))
 
 
 def windows(rows: DataFrame, keys: list[str], width: int, whole: bool = False) -> DataFrame:
@@ -98,7 +101,7 @@ def windows(rows: DataFrame, keys: list[str], width: int, whole: bool = False) -
     def each(words: str) -> Column:
         n = F.size(words)
         starts = F.when(n == width if whole else n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(*(F.get(F.col(words), i + k) for k in range(width))))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, width)))
 
     n = F.size("words")
     count = F.when(n == width if whole else n >= width, n - (width - 1)).otherwise(0)
