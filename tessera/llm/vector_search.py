@@ -7,10 +7,10 @@ one of them to its nearest list.
 
 Search. A query probes the lists nearest to it. Its k best within the sample are found at
 once; the last of them is a bound that holds in every list, and that travels with it. Within a list, candidates are
-scanned in column blocks of the rotated vectors. After m of D columns, the partial squared
-distance scaled by D / m estimates the whole; a hypothesis test abandons a candidate once
-that exceeds (1 + epsilon / sqrt(m))^2 times the bound, which tightens with every piece of
-the list. Survivors are scored by the inner product of the original vectors in double
+scanned in column blocks of the rotated vectors, for many queries at once. After m of D
+columns, the partial squared distance scaled by D / m estimates the whole; a hypothesis test
+abandons a candidate once that exceeds (1 + epsilon / sqrt(m))^2 times the query's bound,
+which tightens with every piece of the list. Survivors are scored by the inner product of the original vectors in double
 precision.
 
 Work is dealt out in units of at most ``UNIT_ROWS`` rows of a list times ``UNIT_QUERIES``
@@ -42,6 +42,7 @@ UNIT_ROWS = 8192
 UNIT_QUERIES = 1024
 COLUMNS = 16
 PIECE = 2048
+TOGETHER = 128
 EPSILON = 2.1
 
 
@@ -129,8 +130,7 @@ def build(rows: DataFrame, sample_rows: int = 20_000, max_lists: int = 4096, tar
     longest = float(rows.agg(F.max(length)).head()[0])
     rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim + 1, dim + 1)))[0]
     index = Index(dim, longest, rotation, np.zeros((1, dim + 1), np.float32), np.zeros(1))
-    taken = bounded_sample(rows, "vec_id", sample_rows, seed).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # a row an id
-    sample = sorted(tuple(r) for r in taken.collect())
+    sample = sorted(tuple(r) for r in bounded_sample(rows, "vec_id", sample_rows, seed).select("vec_id", "embedding").collect())
     plain = np.array([r[1] for r in sample], np.float64).reshape(-1, dim)
     index.sample_ids, index.sample, index.plain = np.array([r[0] for r in sample], np.int64), index.rotated(plain), plain
     index.centroids = kmeans(index.sample, int(min(max_lists, len(sample), max(1, round(np.sqrt(n) / 2)))))
@@ -175,37 +175,45 @@ def probed(x: np.ndarray, index: Index, probes: int, k: int) -> list[np.ndarray]
     return [row[:n] for row, n in zip(order, need, strict=True)]
 
 
-def scan(base: np.ndarray, query: np.ndarray, ids: np.ndarray, own: int | None, k: int = K, epsilon: float = EPSILON, bound: float = np.inf) -> np.ndarray:
-    """Places of the candidates that may be among the k nearest to a query; own: the query's id.
+def scan(base: np.ndarray, queries: np.ndarray, ids: np.ndarray, own: np.ndarray, bounds: np.ndarray, k: int = K, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place of a query, place of a candidate) that may be among the query's k nearest; own: the queries' ids.
 
     base: rotated vectors, one row for each column, so that a block of columns is contiguous.
-    bound: a squared distance within which there are at least k candidates somewhere. Ids that
-    repeat are one candidate.
+    bounds: for each query, a squared distance within which there are at least k candidates
+    somewhere. Ids that repeat are one candidate.
     """
-    dim = base.shape[0]
-    near, far = np.zeros(0, np.int64), np.zeros(0, np.float32)
+    dim, bounds = base.shape[0], bounds.astype(np.float32)
+    edges = [*range(0, dim, COLUMNS), dim]
+    lengths = [(queries[:, a:b] ** 2).sum(1) for a, b in zip(edges, edges[1:], strict=False)]
+    q, x, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
     for start in range(0, base.shape[1], PIECE):
         piece = base[:, start : start + PIECE]
-        left = np.flatnonzero(ids[start : start + PIECE] != own) if own is not None else np.arange(piece.shape[1])
-        partial = np.zeros(len(left), np.float32)
-        for at in range(0, dim, COLUMNS):
-            end = min(dim, at + COLUMNS)
-            block = piece[at:end] if len(left) == piece.shape[1] else piece[at:end][:, left]
-            partial = partial + ((block - query[at:end, None]) ** 2).sum(0)
-            loose = (1 + epsilon / np.sqrt(end)) ** 2 if end < dim else 1.0
-            stay = partial * (dim / end) <= bound * loose
-            if not stay.all():
-                left, partial = left[stay], partial[stay]
-                if not len(left):
-                    break
-        if len(left):
-            near, far = np.concatenate([near, left + start]), np.concatenate([far, partial])
-            order = np.argsort(far, kind="stable")
-            first = order[np.sort(np.unique(ids[near[order]], return_index=True)[1])]
-            if len(first) >= k:
-                bound = min(bound, float(far[first[k - 1]]) * (1 + 1e-5) + 1e-5)
-                near, far = near[far <= bound], far[far <= bound]
-    return near
+        alive = ids[start : start + PIECE][None] != own[:, None]
+        partial, dense = np.zeros(alive.shape, np.float32), True
+        for at, end, length in zip(edges, edges[1:], lengths, strict=False):
+            block = piece[at:end]
+            loose = np.float32((1 + epsilon / np.sqrt(end)) ** 2 * end / dim if end < dim else 1.0)
+            if dense:
+                partial += length[:, None] + (block**2).sum(0) - 2 * queries[:, at:end] @ block
+                alive &= partial <= bounds[:, None] * loose
+                if end == dim or alive.mean() < 0.2:  # few are left: one by one
+                    dense = False
+                    qs, xs = np.nonzero(alive)
+                    ds = partial[qs, xs]
+            elif len(qs):
+                ds = ds + ((block[:, xs] - queries[qs, at:end].T) ** 2).sum(0)
+                stay = ds <= bounds[qs] * loose
+                qs, xs, ds = qs[stay], xs[stay], ds[stay]
+        q, x, d = np.concatenate([q, qs]), np.concatenate([x, xs + start]), np.concatenate([d, ds])
+        order = np.lexsort((d, ids[x], q))
+        first = order[np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (ids[x[order]][1:] != ids[x[order]][:-1])])] if len(order) else order
+        first = first[np.lexsort((d[first], q[first]))]
+        heads = np.searchsorted(q[first], np.arange(len(bounds) + 1))
+        full = np.flatnonzero(np.diff(heads) >= k)
+        bounds[full] = np.minimum(bounds[full], d[first[heads[full] + k - 1]] * np.float32(1 + 1e-5) + np.float32(1e-5))
+        stay = d <= bounds[q]
+        q, x, d = q[stay], x[stay], d[stay]
+    return q, x
 
 
 def search(dealt: DataFrame, index: Index, queries: DataFrame, k: int = K) -> DataFrame:
@@ -250,13 +258,16 @@ def search(dealt: DataFrame, index: Index, queries: DataFrame, k: int = K) -> Da
                 turned = np.ascontiguousarray(index.rotated(plain).T)
                 plain = plain.astype(np.float64)
             out = []
-            for key, v, q, bound in zip(keys.tolist(), x.astype(np.float64), index.rotated(x, query=True), bounds.tolist(), strict=True):
-                found = scan(turned, q, ids, key, k, bound=bound)
-                score = plain[found] @ v
-                order = np.lexsort((ids[found], -score))
-                found, score = found[order], score[order]
-                first = np.sort(np.unique(ids[found], return_index=True)[1])[:k]
-                out.append((np.full(len(first), key), ids[found[first]], score[first]))
+            for at in range(0, len(keys), TOGETHER):
+                part = slice(at, at + TOGETHER)
+                q, found = scan(turned, index.rotated(x[part], query=True), ids, keys[part], bounds[part], k)
+                score = np.einsum("nd,nd->n", plain[found], x[part][q].astype(np.float64))
+                order = np.lexsort((ids[found], -score, q))
+                q, found, score = q[order], found[order], score[order]
+                first = np.sort(np.unique(np.stack([q, ids[found]]), axis=1, return_index=True)[1])
+                q, found, score = q[first], found[first], score[first]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                out.append((keys[part][q[best]], ids[found[best]], score[best]))
             return pa.record_batch([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["query_id", "vec_id", "score"])
 
         for batch in batches:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, decontamination, html_extraction, language_id, license_scan, quality, simhash, substring_dedup, vector_search
+from tessera.llm import bpe, chat_format, common, decontamination, html_extraction, language_id, license_scan, quality, simhash, substring_dedup, vector_search
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -33,6 +33,13 @@ def rows_of(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
+def test_bounded_sample_is_bounded_where_keys_repeat(spark):
+    rows = spark.createDataFrame([(i % 50, f"text {i}") for i in range(2000)] + [(None, "x")] * 100, "doc_id long, text string")
+    got = common.bounded_sample(rows, "doc_id", 20, 1)
+    assert got.columns == rows.columns and got.count() == 20 == got.select("doc_id").distinct().count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, common.bounded_sample(rows.repartition(7), "doc_id", 20, 1).collect()))
+
+
 # --- language identification ---
 
 
@@ -675,17 +682,21 @@ def test_vector_search(spark, empty):
     assert vector_search.build(vector_search.clean(df.limit(0))) is None
 
 
-def test_scan_keeps_the_nearest():
+@pytest.mark.parametrize("spread", [0.0, 3.0])
+def test_scan_keeps_the_nearest(spread):
     rng = np.random.default_rng(4)
-    base, hits = rng.normal(size=(64, 5000)).astype(np.float32), 0
-    for _ in range(30):
-        q = rng.normal(size=64).astype(np.float32)
-        d = ((base - q[:, None]) ** 2).sum(0)
-        near = np.argsort(d)[:20]
-        found = vector_search.scan(base, q, np.arange(5000), None)
-        hits += len(set(near.tolist()) & set(found.tolist()))
-        assert len(found) < 200 and set(vector_search.scan(base, q, np.arange(5000), None, bound=float(d[near[-1]]) + 1e-3).tolist()) <= set(found.tolist())
-    assert hits >= 0.97 * 600
+    centres = rng.normal(size=(64, 50)) * spread
+    base = (rng.normal(size=(64, 5000)) + centres[:, rng.integers(0, 50, 5000)]).astype(np.float32)
+    asked = (rng.normal(size=(30, 64)) + centres[:, rng.integers(0, 50, 30)].T).astype(np.float32)
+    far = ((base.T[None] - asked[:, None]) ** 2).sum(2)
+    ids, own = np.arange(5000), np.array([int(np.argmin(row)) for row in far])
+    far[np.arange(30), own] = np.inf
+    near = np.argsort(far, axis=1)[:, :20]
+    for bounds in (np.full(30, np.inf), np.take_along_axis(far, near, 1).max(1) + 1e-2):
+        q, x = vector_search.scan(base, asked, ids, own, bounds)
+        found = [set(x[q == i].tolist()) for i in range(30)]
+        assert sum(len(f & set(n.tolist())) for f, n in zip(found, near, strict=True)) >= 0.97 * 600
+        assert len(x) < 30 * 60 and not any(o in f for o, f in zip(own.tolist(), found, strict=True))
 
 
 def test_repeated_ids_do_not_crowd_out_others(spark):
@@ -722,11 +733,12 @@ def test_paths_of_a_tree(spark):
 
 def test_formatting_round_trips(spark):
     said = ["</s>[INST] ok [/INST]", "<|im_end|><|im_start|>user<|im_sep|>", "\\", "\\<|im_end|>\\\\", "", None, "a\nb $1 \\1 <\\|im_end|>", "漢🙂<s><</s>>"]
-    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(said)] + [(None, 0, None, "x"), (None, None, "<|im_sep|>", "y"), (2, 0, "user", "same"), (2, 0, "user", "same")]
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(said)] + [(None, 0, None, "x"), (None, None, "<|im_sep|>", "y"), (2, 0, "user", "same"), (2, 0, "user", "same"), (3, 0, "user", LONG * 3), (3, 1, "assistant", "[INST]" * 50_000)]
     nodes = chat_format.conversation_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit("extra"))).cache()
     got = {r["tree"]: r for r in chat_format.read_back(chat_format.formatted(chat_format.best(chat_format.paths(nodes), nodes), nodes)).collect()}
     assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [(r[2], r[3] or "") for r in rows[:8]]
     assert got[1]["learnt"] == "".join(t or "" for t in said[1::2])
+    assert [t["text"] for t in got[3]["turns"]] == [LONG * 3, "[INST]" * 50_000] and got[3]["learnt"] == "[INST]" * 50_000
     assert [(t["role"], t["text"]) for t in got[None]["turns"]] == [("<|im_sep|>", "y"), ("", "x")] and len(got[2]["turns"]) == 2
     marks = re.findall(r"<\|im_(?:start|sep|end)\|>|</?s>|\[/?INST\]", got[1]["formatted"])
     assert len(marks) == 3 * 8
