@@ -52,11 +52,13 @@ def _joined(text: Column) -> Column:
 
 def _plain(text: Column) -> Column:
     """Without punctuation; the words stay where they were."""
-    return F.regexp_replace(text, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NAME}{JOIN}]+", "")
+    # Most characters are settled by the first class, which is cheap.
+    return F.regexp_replace(text, rf"[[^a-z ]&&[^\p{{L}}\p{{M}}\p{{N}}\s{NAME}{JOIN}]]+", "")
 
 
-def _split(text: Column, more: str = "") -> Column:
-    return F.array_remove(F.split(text, rf"[\s\x1c-\x1f\x85\xa0{more}]+"), "")
+def _split(plain: Column, more: str = "") -> Column:
+    """The words of a text that ``_plain`` went over: it has no white space but that of ``\\s``."""
+    return F.array_remove(F.split(plain, rf"[\s{more}]+" if more else r"\s+"), "")
 
 
 def template(joined: Column) -> Column:
@@ -78,11 +80,12 @@ def worded(rows: DataFrame, keys: list[str]) -> DataFrame:
     placeholders, where t is all there is.
     """
     t = rows.select(*keys, _joined(F.col("text")).alias("joined"))
-    t = t.select(*keys, template(F.col("joined")).alias("t"), F.lower(_plain(F.col("joined"))).alias("low"))
-    slotted = F.exists("t", _is_slot)
+    t = t.select(*keys, "joined", template(F.col("joined")).alias("t"))
+    slotted = F.array_contains("t", NAME) | F.array_contains("t", NUMBER)  # a unit only follows a number
     # No filter on the words' number: it would be pushed below and make the template twice.
-    t = t.select(*keys, "t", "low", F.when(slotted, _split(F.col("low"))).alias("v"))
-    plains = F.when(F.col("v").isNull(), None).when(F.contains("low", F.lit(JOIN)), _split(F.col("low"), JOIN)).otherwise(F.col("v"))
+    t = t.select(*keys, "t", F.when(slotted, F.lower(_plain(F.col("joined")))).alias("low"))
+    t = t.select(*keys, "t", "low", _split(F.col("low")).alias("v"))
+    plains = F.when(F.contains("low", F.lit(JOIN)), _split(F.col("low"), JOIN)).otherwise(F.col("v"))
     return t.select(*keys, "t", "v", plains.alias("plains"))
 
 
@@ -96,18 +99,18 @@ def windows(rows: DataFrame, keys: list[str], width: int, whole: bool = False) -
     """
     slots = F.zip_with("t", "v", lambda w, v: F.when(_is_slot(w), v))
     hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    t = worded(rows, keys).select(*keys, slots.alias("slots"), hashes("t").alias("words"), F.coalesce(hashes("plains"), F.array().cast("array<bigint>")).alias("plains"))
-
-    def each(words: str) -> Column:
-        n = F.size(words)
-        starts = F.when(n == width if whole else n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, width)))
-
-    n = F.size("words")
-    count = F.when(n == width if whole else n >= width, n - (width - 1)).otherwise(0)
-    found = t.select(*keys, "slots", count.alias("count"), F.posexplode(F.concat(each("words"), each("plains"))).alias("pos", "h"))
-    plain = F.col("pos") >= F.col("count")
-    return found.select(*keys, "slots", (F.col("pos") - F.when(plain, F.col("count")).otherwise(0)).alias("at"), plain.alias("plain"), "h")
+    none = F.array().cast("array<int>")
+    t = worded(rows, keys).select(*keys, slots.alias("slots"), F.coalesce(F.size("t"), F.lit(0)).alias("n"), F.concat(hashes("t"), F.coalesce(hashes("plains"), none.cast("array<bigint>"))).alias("words"))
+
+    def starts(first: Column, n: Column) -> Column:
+        return F.when(n == width if whole else n >= width, F.sequence(first, first + n - width)).otherwise(none)
+
+    # Starts are exploded and hashed without lambdas, so that these steps and the join are compiled into one loop.
+    n, start = F.col("n"), F.col("start")
+    found = t.select(*keys, "slots", "n", "words", F.explode(F.concat(starts(F.lit(0), n), starts(n, F.size("words") - n))).alias("start"))
+    plain = start >= n
+    h = F.xxhash64(*[F.get("words", start + k) for k in range(width)])
+    return found.select(*keys, "slots", (start - F.when(plain, n).otherwise(0)).alias("at"), plain.alias("plain"), h.alias("h"))
 
 
 def slot_values(slots: Column, at: Column, width: int) -> Column:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -218,6 +219,28 @@ def test_decontamination_of_short_items_and_items_of_slots(spark):
     assert found == {(0, 0), (1, 1), (2, 2), (4, 3)}
 
 
+def test_decontamination_compiles_its_windows(spark):
+    """Each window is made, hashed and joined without a lambda: through interpreted code that took most of the CPU time."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs, items = spark.createDataFrame([(0, OTHER)], "doc_id long, text string"), spark.createDataFrame([(0, ITEM)], "item_id long, text string")
+        plan = decontamination.contaminated(docs, items)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    made = [line for line in plan.splitlines() if "Generate explode" in line or "Generate posexplode" in line]
+    assert made and all(re.search(r"\*\(\d+\) Generate", line) and "lambda" not in line for line in made)
+
+
+def test_decontamination_removes_punctuation_only(spark):
+    """Against Unicode's categories, for what the first class of the pattern lets through and what it settles."""
+    odd = [chr(c) for c in range(0x180)] + list("\u0301\u0903\u2028\u2160\u3000\u6f22\ue000\ue001\ue003\U0001d400\U0001f600")
+    kept = [c for c in odd if unicodedata.category(c)[0] in "LMN" or c in " \t\n\x0b\f\r\ue000\ue003"]
+    rows = spark.createDataFrame([("".join(odd),), ("".join(reversed(odd)),), ("".join(f"a{c}z" for c in odd),)], "text string")
+    got = [r[0] for r in rows.select(decontamination._plain(rows["text"])).collect()]
+    assert got == ["".join(kept), "".join(reversed(kept)), "".join(f"a{c}z" if c in kept else "az" for c in odd)]
+
+
 QUESTIONS = [
     "the farmer {a} sold {x} apples to {b} for {y} euros and then {a} walked back to the quiet village near the lake before sunset",
     "last spring {a} drove {x} km from the harbour to visit {b} who had waited {y} hours beside the old wooden bridge in the rain",
